@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, leaks, repeated, split, survivor
+from millrace.llm import bpe, canon, leaks, mainbody, repeated, residue, split, survivor
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,25 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     return repeated.remove_lines(pages, repeated.repeated_lines(pages)).select(F.col("id").alias("page_id"), "text")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "raw_pages")
+    lines = mainbody.line_verdicts(pages, _table(spark, folder, "line_labels")).where("not is_main").select("id", "line_no").distinct()
+    cases = residue.residue_pages(pages).select("id")
+    return lines.join(cases, "id", "left_anti").select(F.col("id").alias("page_id"), "line_no")
+
+
+def p4_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    return mainbody.main_bodies(_table(spark, folder, "raw_pages"), _table(spark, folder, "line_labels")).withColumnRenamed("id", "page_id")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue_pages(_table(spark, folder, "raw_pages")).select(F.col("id").alias("page_id")).distinct()
+
+
+def p6_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue_pages(_table(spark, folder, "raw_pages")).withColumnRenamed("id", "page_id")
+
+
 def _contacts(spark: SparkSession, folder: str) -> DataFrame:
     counties = _table(spark, folder, "structured_counties")
     fields = {
@@ -53,6 +72,21 @@ def p5_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _mapped(spark: SparkSession, folder: str) -> DataFrame:
+    registry = canon.reference(_table(spark, folder, "program_registry"), "program_id", ["canonical_name"], ["county_aliases"], ["acronym"])
+    categories = canon.reference(_table(spark, folder, "category_list"), "category_id", ["category_name"], ["also_written"])
+    return canon.map_values(_table(spark, folder, "structured_programs"), {"program_name": registry, "program_category": categories})
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mapped(spark, folder).select("record_id", "field_name", "entry_id").distinct()
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """For each field and entry the records mapped to it, and how many of them were typed otherwise."""
+    return _mapped(spark, folder).groupBy("field_name", "entry_id").agg(F.count("*").alias("records"), F.count_if(F.col("distance") > 0).alias("mistyped"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(_table(spark, folder, "documents"))
 
