@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, canon, leaks, mainbody, repeated, residue, split, survivor
+from millrace.llm import bpe, canon, leaks, mainbody, neardup, repeated, residue, split, survivor
+from millrace.runtime import stage
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +24,29 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.piece_texts(_table(spark, folder, "raw_pages")).withColumnRenamed("id", "page_id")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = neardup.document_pairs(*neardup.near_duplicates(_table(spark, folder, "raw_pages")))
+    return pairs.select(F.col("a").alias("page_id_a"), F.col("b").alias("page_id_b"))
+
+
+def p2_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links between classes of copies, with their similarity."""
+    links, _ = neardup.near_duplicates(_table(spark, folder, "raw_pages"))
+    similarity = F.round(F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap")), 6)
+    return links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), similarity.alias("similarity"))
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    links, members = neardup.near_duplicates(_table(spark, folder, "raw_pages"))
+    return neardup.duplicate_classes(stage(links, "links"), members).withColumnRenamed("id", "page_id")
+
+
+def p2_groups_five(spark: SparkSession, folder: str) -> DataFrame:
+    """As p2_groups, for shingles of five words and a similarity of 0.8."""
+    links, members = neardup.near_duplicates(_table(spark, folder, "raw_pages"), size=5, threshold=0.8)
+    return neardup.duplicate_classes(stage(links, "links"), members).withColumnRenamed("id", "page_id")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated.repeated_lines(_table(spark, folder, "raw_pages")).select(F.col("id").alias("page_id"), "line_no")
 
@@ -51,6 +75,10 @@ def p6_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue_pages(_table(spark, folder, "raw_pages")).withColumnRenamed("id", "page_id")
 
 
+def p6_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue_templates(_table(spark, folder, "raw_pages"))
+
+
 def _contacts(spark: SparkSession, folder: str) -> DataFrame:
     counties = _table(spark, folder, "structured_counties")
     fields = {

@@ -43,9 +43,19 @@ _P9 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT
     found AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))"""
 
 
+def _p2(size: int, share: float) -> str:
+    grams = " || ' ' || ".join(f"w[p + {i}]" if i else "w[p]" for i in range(size))
+    return f"""WITH d AS (SELECT page_id, {_WORDS} AS w FROM raw_pages), e AS (SELECT * FROM d WHERE len(w) >= 60),
+        g AS (SELECT page_id, unnest(list_distinct(list_transform(range(1, len(w) - {size - 2}), lambda p: {grams}))) AS g FROM e),
+        n AS (SELECT page_id, count(*) AS n FROM g GROUP BY page_id),
+        c AS (SELECT a.page_id AS a, b.page_id AS b, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.page_id < b.page_id GROUP BY 1, 2),
+        pairs AS (SELECT a, b FROM c JOIN n x ON x.page_id = a JOIN n y ON y.page_id = b WHERE common >= {share} * (x.n + y.n - common) - 1e-9)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": r"""SELECT page_id, CASE WHEN regexp_matches(text, '[^ \t\n\x{A0}\x{3000}\x{3002}]{801,}') THEN 'forced' ELSE 'natural' END AS cut FROM raw_pages WHERE length(text) > 800""",
+        "p2_found": _p2(3, 0.7) + " SELECT a AS page_id_a, b AS page_id_b FROM pairs",
         "p3_found": _P3 + " SELECT page_id, line_no FROM normal JOIN hot USING (source, line)",
         "p3_clean": _P3 + """, gone AS (SELECT page_id, list(line_no) AS gone FROM normal JOIN hot USING (source, line) GROUP BY page_id)
             SELECT page_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text
