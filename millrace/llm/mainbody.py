@@ -17,7 +17,6 @@ from millrace.llm.common import map_batches
 from millrace.llm.layout import is_html, render
 from millrace.runtime import spread
 
-_SPACE = re.compile(r"\s+")
 _MENU = {
     "home", "about", "about us", "services", "departments", "residents", "business", "visitors", "government", "news", "calendar", "meetings",
     "elections", "transit", "jobs", "parks", "library catalog", "library", "records", "forms", "maps", "directory", "alerts", "pay a bill", "i want to…",
@@ -30,82 +29,128 @@ _HEADS = {
     "popular searches", "trending now", "latest headlines", "events near you", "upcoming meetings", "in this section", "also on this site", "top forms",
     "explore", "see also", "most read", "featured",
 }
+#: How lines of each kind begin, and what they hold.
 _KINDS = {
-    "skip": r"^(skip|jump|go) (to |navigation)|^ir al contenido|^back to top|^(open|toggle) (search|menu)|^search this site|^text size|^select language|^sign in|^\[image:|^close this|^volver arriba|^aller au contenu",
-    "cookie": r"cookie|\bprivacy (banner|choices)|consent settings|store data on your device|small files to remember|analytics files|tracking preferences",
-    "share": r"^like this\?|^share (this|on)\b|^copy link|^compart|^post to your|^tell a friend|^print \||^send to phone|^follow .* (social|channels)|alerts by text|^sign up for our newsletter|^subscribe\b|^suscr[ií]base|^partager|^tweet|^pin it",
-    "meta": r"^last (modified|updated)|^page (last )?(reviewed|updated|id)\b|^published (by|on)|^posted (by|on)|^by .*(staff writer|min read)|^content owner|^tags?:|^viewed \d|^rate this page|^\d+ comments?\b|^was this page|^updated on|^última (actualización|modificación)|^author:|^por .* redacci",
-    "ad": r"^(advertisement|sponsored|ad|anuncio|publicidad)\b ?[:|-]",
-    "link": r"^» |^(read|learn|see) more\b|^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d+:|^(open|download|view) .*\((pdf|doc|docx|xls|xlsx)\b|\((pdf|doc), \d+ ?[km]b\)|^leer más|^más información sobre",
-    "legal": r"^links to outside|^documents may need|^translation is automatic|not medical advice|^no warranty|equal (access|opportunity)|public records rules|seal used with|all rights reserved|^copyright\b|^©|^terms of (use|service)|^site map|^mailing list|^powered by|^website (designed|by)|^este sitio es|derechos reservados|accessibility statement|^disclaimer|\| ?main line\b|^privacy policy|^(designed|hosted) by",
+    "skip": (r"(?:skip|jump|go) (?:to |navigation)|ir al contenido|back to top|(?:open|toggle) (?:search|menu)|search this site|text size|select language|sign in\b|\[image:|close this|volver arriba|aller au contenu", ()),
+    "cookie": (r"privacy (?:banner|choices)|consent settings|tracking preferences", ("cookie", "your privacy choices", "store data on your device", "small files to remember", "analytics files")),
+    "share": (r"like this\?|share (?:this|on)\b|copy link|compart|post to your|tell a friend|print \||send to phone|sign up for our newsletter|subscribe\b|suscr[ií]base|partager|tweet\b|pin it", ("social channels", "social media", "alerts by text")),
+    "meta": (r"last (?:modified|updated)|page (?:last )?(?:reviewed|updated|id)\b|published (?:by|on)|posted (?:by|on)|content owner|tags?:|viewed \d|rate this page|\d+ comments?\b|was this page|updated on|última (?:actualización|modificación)|author:|por .* redacci", ("staff writer", "min read")),
+    "ad": (r"(?:advertisement|sponsored|ad|anuncio|publicidad)\b ?[:|-]", ()),
+    "link": (r"» |(?:read|learn|see) more\b|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d+:|leer más|más información sobre", ("(pdf", "(docx", "(xlsx")),
+    "legal": (
+        r"links to outside|documents may need|translation is automatic|no warranty|copyright\b|©|terms of (?:use|service)|site map|mailing list|powered by|website (?:designed|by)|este sitio es|disclaimer|privacy policy|(?:designed|hosted) by",
+        ("not medical advice", "equal access", "equal opportunity", "public records rules", "seal used with", "all rights reserved", "derechos reservados", "accessibility statement", "| main line", "|main line"),
+    ),
 }
-_COMPILED = {k: re.compile(v) for k, v in _KINDS.items()}
+_STARTS = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in _KINDS.items()))
+_HOLDS = [(w, k) for k, (_, ws) in _KINDS.items() for w in ws]
+#: Furniture is shorter than this.
+_LONG = 140
 _LIST = re.compile(r"^\s*(?:[-*•o·▪◦‣–✅✔☑👶🍼➤►]|\d{1,2}[.)])\s+\S")
-_SENTENCE = re.compile(r"[.!?。！？]['\"”’)]*$")
+_ENDS = tuple(e + q for e in ".!?。！？" for q in ("", "'", '"', "”", "’", ")"))
 _SEPARATORS = re.compile(r"\s*(?:\||·|›|»|::|>|/|•)\s*")
 _CONTACT = re.compile(r"\(?\d{3}\)?[-. –]?\d{3}[-. –]\d{4}|[\w.+-]+@[\w-]+\.|\b(call|llame|e-mail|email|correo|teléfono|program line|reach us)\b")
 _BODY = ("sentence", "list", "contact", "title", "text")
 NAMES = ("blank", "menu", "bar", "crumb", "head", *_KINDS, "list", "contact", "sentence", "title", "text")
 
 
+_CACHED: dict[str, str] = {}
+
+
 def clean(line: str) -> str:
-    return _SPACE.sub(" ", line).strip().lower()
+    return " ".join(line.split()).lower()
 
 
 def kind_of(line: str) -> str:
     """The kind of a line by its own words and shape."""
+    if len(line) > 100:
+        return _kind(line)
+    kind = _CACHED.get(line)
+    if kind is None:
+        if len(_CACHED) > 200_000:
+            _CACHED.clear()
+        kind = _CACHED[line] = _kind(line)
+    return kind
+
+
+def _kind(line: str) -> str:
     t = clean(line)
     if not t:
         return "blank"
-    if t in _MENU:
-        return "menu"
-    if t in _HEADS:
-        return "head"
-    for k, p in _COMPILED.items():
-        if p.search(t):
-            return k
-    if t.startswith(("you are here", "usted está", "vous êtes ici")):
-        return "crumb"
-    parts = [x for x in _SEPARATORS.split(t) if x]
-    if len(parts) > 2 and max(map(len, parts)) <= 40 and not _SENTENCE.search(t):
-        known = sum(x in _MENU for x in parts)
-        return "bar" if known >= 2 and known * 2 >= len(parts) else "crumb"
+    if len(t) <= _LONG:
+        if t in _MENU:
+            return "menu"
+        if t in _HEADS:
+            return "head"
+        if m := _STARTS.match(t):
+            return m.lastgroup
+        for w, k in _HOLDS:
+            if w in t:
+                return k
+        if t.startswith(("you are here", "usted está", "vous êtes ici")):
+            return "crumb"
+        if not t.endswith(_ENDS) and any(c in t for c in "|·›»>/•:"):
+            parts = [x for x in _SEPARATORS.split(t) if x]
+            if len(parts) > 2 and max(map(len, parts)) <= 40:
+                known = sum(x in _MENU for x in parts)
+                return "bar" if known >= 2 and known * 2 >= len(parts) else "crumb"
     if _LIST.match(line):
         return "list"
-    if _CONTACT.search(t) and len(t) < 160:
+    if len(t) < 160 and _CONTACT.search(t):
         return "contact"
-    if _SENTENCE.search(t) or len(t) > 120:
+    if len(t) > 120 or t.endswith(_ENDS):
         return "sentence"
     return "title" if len(t) <= 90 else "text"
 
 
-def features(lines: list[str]) -> tuple[np.ndarray, list[int]]:
-    """A row for each non-blank line, and the numbers of these lines (from 1)."""
+def _kinds(lines: list[str]) -> tuple[list[int], list[int]]:
+    """Of each non-blank line its place and the number of its kind."""
     kinds = [kind_of(x) for x in lines]
     at = [i for i, k in enumerate(kinds) if k != "blank"]
     for a, i in enumerate(at):  # a word of menus that stands alone between lines of the body is a heading there
-        around = [kinds[at[j]] for j in (a - 1, a + 1) if 0 <= j < len(at)]
-        if kinds[i] == "menu" and clean(lines[i]) != "menu" and len(around) == 2 and all(k in _BODY for k in around):
+        if kinds[i] == "menu" and 0 < a < len(at) - 1 and kinds[at[a - 1]] in _BODY and kinds[at[a + 1]] in _BODY and clean(lines[i]) != "menu":
             kinds[i] = "title"
-    codes = [NAMES.index(kinds[i]) for i in at]
+    return at, [_CODE[kinds[i]] for i in at]
+
+
+_CODE = {k: i for i, k in enumerate(NAMES)}
+_FIRM = {_CODE[k] for k in ("sentence", "list", "contact")}
+_AFTER_BOX = _FIRM | {_CODE["text"]}
+#: Neighbours whose kinds count: the line itself, the one before, ...
+_NEAR = (0, -1, 1, -2, 2)
+
+
+def _shapes(lines: list[str], at: list[int], codes: list[int]) -> list[tuple[float, ...]]:
+    """What counts of each line besides kinds: 1, in a side box, before the body, length, first, last, after a blank
+    line, last of a side box before the body."""
+    n = len(at)
+    box = _boxes(codes)
+    body = next((j for j in range(n) if codes[j] in _FIRM), n)
+    return [
+        (1.0, float(box[j]), float(j < body), min(len(lines[at[j]].strip()), 200) / 200, float(j == 0), float(j == n - 1), float(j > 0 and at[j] - at[j - 1] > 1), float(box[j] and j + 1 < n and codes[j + 1] in _AFTER_BOX))
+        for j in range(n)
+    ]
+
+
+def features(lines: list[str]) -> tuple[np.ndarray, list[int]]:
+    """A row for each non-blank line, and the numbers of these lines (from 1)."""
+    at, codes = _kinds(lines)
     n, k = len(at), len(NAMES)
     out = np.zeros((n, 5 * k + 8), np.float32)
-    box = _boxes([kinds[i] for i in at])
-    first_body = next((j for j in range(n) if NAMES[codes[j]] in ("sentence", "list", "contact")), n)
     for j in range(n):
-        for s, d in enumerate((0, -1, 1, -2, 2)):
+        for s, d in enumerate(_NEAR):
             if 0 <= j + d < n:
                 out[j, s * k + codes[j + d]] = 1
-        t = lines[at[j]].strip()
-        out[j, 5 * k :] = [1, box[j], j < first_body, min(len(t), 200) / 200, j == 0, j == n - 1, j > 0 and at[j] - at[j - 1] > 1, box[j] and j + 1 < n and NAMES[codes[j + 1]] in ("sentence", "list", "contact", "text")]
+    if n:
+        out[:, 5 * k :] = _shapes(lines, at, codes)
     return out, [i + 1 for i in at]
 
 
-def _boxes(kinds: list[str]) -> list[bool]:
+def _boxes(codes: list[int]) -> list[bool]:
     """Whether each line lies in a side box: a run of links and titles with a head or a link before the line."""
     out, inside = [], False
-    for k in kinds:
-        inside = k in ("head", "link") or (inside and k == "title")
+    for c in codes:
+        inside = c == _CODE["head"] or c == _CODE["link"] or (inside and c == _CODE["title"])
         out.append(inside)
     return out
 
@@ -143,9 +188,33 @@ def visible_lines(text: str) -> list[str]:
 
 
 def is_main(lines: list[str], weights: np.ndarray) -> list[tuple[int, bool]]:
-    """(number from 1, whether main) of each non-blank line."""
-    x, nos = features(lines)
-    return list(zip(nos, (x @ weights > 0).tolist())) if nos else []
+    """(number from 1, whether main) of each non-blank line; the same sums as features(lines) @ weights."""
+    return score_pages([lines], weights)[0]
+
+
+def score_pages(pages: list[list[str]], weights: np.ndarray) -> list[list[tuple[int, bool]]]:
+    k = len(NAMES)
+    w = weights.tolist()
+    near = [w[s * k : (s + 1) * k] for s in range(5)]
+    rest = w[5 * k :]
+    out = []
+    for lines in pages:
+        at, codes = _kinds(lines)
+        n = len(at)
+        own = []
+        for j, shape in enumerate(_shapes(lines, at, codes)):
+            x = sum(a * b for a, b in zip(shape, rest)) + near[0][codes[j]]
+            if j > 0:
+                x += near[1][codes[j - 1]]
+                if j > 1:
+                    x += near[3][codes[j - 2]]
+            if j + 1 < n:
+                x += near[2][codes[j + 1]]
+                if j + 2 < n:
+                    x += near[4][codes[j + 2]]
+            own.append((at[j] + 1, x > 0))
+        out.append(own)
+    return out
 
 
 def load_labels(pages: DataFrame, labels: DataFrame, most: int = LABELLED_LINES) -> list[tuple[int, str, dict[int, bool]]]:
