@@ -1,9 +1,10 @@
 """Problem 2: pages with nearly the same text, by an exact set-similarity join over a token-group matrix.
 
 Texts are sets of word shingles (64-bit hashes). Copies form one class. Similar classes are partitioned into groups by
-min-hashes; the matrix holds, for each group, the union of its members' tokens (only those tokens that a pair of
-sufficient similarity must share at least one of: the rarest of each set). The overlap of a group with another is
-bounded from that matrix, only groups that qualify are opened, and their members are compared exactly."""
+min-hashes; the matrix holds, for each group, its members' tokens (only those tokens that a pair of sufficient
+similarity must share at least one of: the rarest of each set). The overlap of a member with those of another group is
+bounded from that matrix by sizes, places and bitmaps; only groups that qualify are opened, and their members are
+compared exactly."""
 
 from __future__ import annotations
 
@@ -22,6 +23,8 @@ BUCKETS = 1 << 16
 GROUP_SIZE = 32
 #: Up to so many ids are broadcast to the texts; beyond, the texts are shuffled to the ids.
 BROADCAST_IDS = 2_000_000
+#: Tokens in a slice of the matrix, about; pairs of a slice that are looked at in one step.
+SLICE_TOKENS, PAIRS_AT_ONCE = 8_000_000, 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORDS: dict[str, int] = {}
 
@@ -79,7 +82,7 @@ def _read(size: int, least: int):
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            ids, names, keys = [], [], []
+            ids, names, keys, sizes = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingles(t, size, least) if t else None
                 if s is None:
@@ -87,16 +90,17 @@ def _read(size: int, least: int):
                 ids.append(i)
                 names.append(xxhash.xxh3_128_digest(s.tobytes()))
                 keys.append(_group_key(s))
+                sizes.append(len(s))
                 counts += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
-            yield _row(ids, names, keys, [None] * len(ids))
+            yield _row(ids, names, keys, sizes, [None] * len(ids))
         if counts.any():
-            yield _row([None], [None], [None], [counts.astype("<i8").tobytes()])
+            yield _row([None], [None], [None], [None], [counts.astype("<i8").tobytes()])
 
     return run
 
 
-def _row(ids: list, names: list, keys: list, counts: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.int64()), pa.array(counts, pa.binary())], ["id", "name", "key", "counts"])
+def _row(ids: list, names: list, keys: list, sizes: list, counts: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary())], ["id", "name", "key", "n", "counts"])
 
 
 def _sum_tables(batches):
@@ -139,12 +143,12 @@ def near_duplicates(df: DataFrame, id_col: str = "page_id", text_col: str = "tex
 
     Null, empty and short texts are in neither table; rows repeated with one id count once; whole texts count. No
     candidate is dropped: the number of partners has no cap, groups have a bounded size, frequent tokens stand last in
-    every set's order and so rarely lead from group to group. Shuffled are the rare tokens of each class (about half of
-    its set) and the sets of groups that qualify."""
+    every set's order and so rarely lead from group to group. Shuffled are the rare tokens of each class (a third of
+    its set, 8 bytes each), its bitmap once a slice, and the sets of groups that qualify."""
     own = spread(unique_by(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null"), "id"), "id")
     spark = own.sparkSession
     ship(spark)
-    read = stage(own.mapInArrow(_read(size, least_words), "id long, name binary, key long, counts binary"), "sets")
+    read = stage(own.mapInArrow(_read(size, least_words), "id long, name binary, key long, n int, counts binary"), "sets")
     kept = spark.sparkContext.broadcast(_bucket_counts(read.where("counts is not null").select("counts")))
     named = read.where("id is not null").select("id", "name", "key")
     classes = named.groupBy("name").agg(F.min("id").alias("class"), F.min("key").alias("key"))
@@ -156,13 +160,12 @@ def near_duplicates(df: DataFrame, id_col: str = "page_id", text_col: str = "tex
     groups = stage(parted.join(parted.groupBy("key", "part").agg(F.min("class").alias("grp"), F.count("*").alias("size")), ["key", "part"]).select("class", "grp", "size"), "groups")
     leaders = groups.count()
 
+    tokens = read.agg(F.sum("n")).first()[0] or 0
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // SLICE_TOKENS))
     placed = _narrowed(own, groups.select(F.col("class").alias("id"), "grp"), leaders).select("id", "grp", "text")
-    rows = map_batches(placed, lambda b: _matrix(b, size, least_words, threshold, kept.value), "token long, grp long, n int, probe boolean")
-    probes = rows.select(F.col("grp").alias("p"), "token", F.col("n").alias("p_n"))
-    index = rows.where("not probe").select(F.col("grp").alias("g"), "token", F.col("n").alias("g_n"))
-    # on the probing side is the larger set of a pair
-    able = (F.col("p") != F.col("g")) & (F.col("p_n") >= F.col("g_n")) & (F.col("g_n") >= F.col("p_n") * threshold - 1e-9)
-    pairs = stage(probes.join(index, "token").where(able).select(F.least("p", "g").alias("g1"), F.greatest("p", "g").alias("g2")).distinct(), "pairs")
+    rows = map_batches(placed, lambda b: _matrix(b, size, least_words, threshold, kept.value, slices), "slice int, class long, grp long, n int, places binary, bitmap binary")
+    found = rows.repartition(slices, "slice").mapInArrow(lambda batches: _qualify(batches, threshold), "g1 long, g2 long")
+    pairs = stage(found.distinct(), "pairs")
 
     needed = pairs.select(F.explode(F.array("g1", "g2")).alias("grp")).union(groups.where("size > 1").select("grp")).distinct()
     open_classes = stage(groups.join(needed, "grp", "left_semi").select(F.col("class").alias("id"), "grp"), "open")
@@ -181,23 +184,122 @@ def _sets(members: list[dict]) -> list[tuple[int, np.ndarray]]:
     return [(m["class"], np.frombuffer(m["tokens"], np.uint64)) for m in members]
 
 
-def _matrix(b: pa.RecordBatch, size: int, least: int, t: float, counts: np.ndarray):
-    """Rows of the token-group matrix: token, group, size of the set; probe: only for the larger set of a pair."""
-    tokens, lengths, sizes, probe = [], [], [], []
-    for text in b.column(2).to_pylist():
+def _level(n: int) -> int:
+    """Words of 64 bits of the bitmap of a set of n tokens: a power of two, at least a bit a token."""
+    return 1 << max(0, (n - 1).bit_length() - 6)
+
+
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """The parity of the number of tokens at each bit. The bits in which two bitmaps differ are at most as many as the
+    tokens that only one of the sets has. A bitmap of half the size is the two halves' exclusive or."""
+    bits = _level(len(s)) * 64
+    parity = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _matrix(b: pa.RecordBatch, size: int, least: int, t: float, counts: np.ndarray, slices: int):
+    """The token-group matrix, cut by tokens into slices: for each class and slice its group, the size of its set, the
+    rare tokens that fall into the slice, each with its place in the set's order, and the set's bitmap."""
+    cols: tuple[list, ...] = ([], [], [], [], [], [])
+    for i, g, text in zip(*(b.column(k).to_pylist() for k in range(3))):
         s = _ordered(shingles(text, size, least), counts)
         n = len(s)
-        k, short = probe_length(n, t), index_length(n, t)
-        tokens.append(s[:k])
-        lengths.append(k)
-        sizes.append(n)
-        probe.append(np.arange(k) >= short)
-    groups = b.column(1).to_numpy(zero_copy_only=False)
-    flat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array((flat(tokens, np.uint64) >> np.uint64(16)).astype(np.int64)), pa.array(np.repeat(groups, lengths).astype(np.int64)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(flat(probe, bool))],
-        ["token", "grp", "n", "probe"],
-    )
+        head = s[: probe_length(n, t)]
+        bitmap = _bitmap(s).tobytes()
+        where = ((head >> np.uint64(20)) % np.uint64(slices)).astype(np.int32)
+        order = np.argsort(where, kind="stable")
+        both = np.empty((len(head), 2), "<u4")
+        both[:, 0] = (head >> np.uint64(32)).astype(np.uint32)
+        both[:, 1] = np.arange(len(head))
+        both, where = both[order], where[order]
+        cuts = np.flatnonzero(np.diff(where)) + 1
+        for x, part in zip(np.split(both, cuts), np.split(where, cuts)):
+            for col, v in zip(cols, (int(part[0]), i, g, n, x.tobytes(), bitmap)):
+                col.append(v)
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["slice", "class", "grp", "n", "places", "bitmap"])
+
+
+def _qualify(batches, t: float):
+    """Pairs of groups of which two members share a rare token and may be similar enough: by their sizes, by the place
+    of the token (what can follow it in both), and by their bitmaps. The member of smaller size (of smaller name, if
+    equal) shares one of its index_length rarest tokens, the other one of its probe_length rarest."""
+    ids, groups, sizes, places, maps = [], [], [], [], []
+    for b in batches:
+        ids.append(b.column(1).to_numpy(zero_copy_only=False))
+        groups.append(b.column(2).to_numpy(zero_copy_only=False))
+        sizes.append(b.column(3).to_numpy(zero_copy_only=False).astype(np.int64))
+        places += b.column(4).to_pylist()
+        maps += b.column(5).to_pylist()
+    if not places:
+        return
+    rank_of = np.lexsort((np.concatenate(ids), np.concatenate(sizes)))  # by size, then name
+    grp, n = np.concatenate(groups)[rank_of], np.concatenate(sizes)[rank_of]
+    maps = [maps[i] for i in rank_of]
+    own = [np.frombuffer(places[i], "<u4").reshape(-1, 2) for i in rank_of]
+    rec = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    both = np.concatenate(own)
+    order = np.lexsort((rec, both[:, 0]))
+    token, pos, rec = both[order, 0], both[order, 1].astype(np.int64), rec[order]
+    levels = np.array([_level(int(x)) for x in n])
+    table, offset = _bitmap_table(maps, levels)
+    short = n - np.ceil(2 * t / (1 + t) * n - 1e-9).astype(np.int64) + 1
+    end = np.searchsorted(token, token, "right")
+    # partners of an entry: later ones of the same token, no larger than allowed
+    reach = np.searchsorted(n, np.floor(n / t + 1e-9).astype(np.int64), "right")  # records up to this rank are not too large
+    key = token.astype(np.int64) * (len(n) + 1) + rec
+    last = np.minimum(end, np.searchsorted(key, token.astype(np.int64) * (len(n) + 1) + reach[rec], "left"))
+    many = np.where(pos < short[rec], np.maximum(0, last - np.arange(len(token)) - 1), 0)
+    total = np.cumsum(many)
+    start, seen = 0, []
+    while start < len(many):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS_AT_ONCE, "right")))
+        part = many[start:stop]
+        i = np.repeat(np.arange(start, stop), part)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(part) - part, part)
+        start = stop
+        x, y = rec[i], rec[j]
+        need = np.ceil(t / (1 + t) * (n[x] + n[y]) - 1e-9)
+        good = (grp[x] != grp[y]) & (1 + np.minimum(n[x] - pos[i] - 1, n[y] - pos[j] - 1) >= need)
+        x, y, need = x[good], y[good], need[good]
+        good = _differ(table, offset, levels, x, y) <= n[x] + n[y] - 2 * need
+        a, c = grp[x[good]], grp[y[good]]
+        if len(a):
+            seen.append(np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)]), axis=1))
+    if seen:
+        out = np.unique(np.concatenate(seen, axis=1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["g1", "g2"])
+
+
+def _bitmap_table(maps: list[bytes], levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All bitmaps in one array, each followed by its folded form; where each begins."""
+    parts, offset, at = [], np.zeros(len(maps), np.int64), 0
+    for i, (m, k) in enumerate(zip(maps, levels.tolist())):
+        x = np.frombuffer(m, np.uint64)
+        offset[i] = at
+        parts.append(x)
+        at += k
+        if k > 1:
+            parts.append(x[: k // 2] ^ x[k // 2 :])
+            at += k // 2
+    return np.concatenate(parts), offset
+
+
+def _differ(table: np.ndarray, offset: np.ndarray, levels: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the bitmaps of x and y differ, at the size of the smaller one; at most twice as large is the
+    other, as their sets' sizes are close; 0 where it is larger still."""
+    out = np.zeros(len(x), np.int64)
+    a, b = levels[x], levels[y]
+    low = np.minimum(a, b)
+    for k in np.unique(low).tolist():
+        at = np.flatnonzero((low == k) & (np.maximum(a, b) <= 2 * k))
+        p = offset[x[at]] + np.where(a[at] > k, a[at], 0)
+        q = offset[y[at]] + np.where(b[at] > k, b[at], 0)
+        bits = np.zeros(len(at), np.int64)
+        for w in range(k):
+            bits += np.bitwise_count(table[p + w] ^ table[q + w])
+        out[at] = bits
+    return out
 
 
 def _token_sets(b: pa.RecordBatch, size: int, least: int):
