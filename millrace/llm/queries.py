@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, canon, leaks, mainbody, neardup, repeated, residue, split, survivor
+from millrace.llm import bpe, canon, leaks, mainbody, neardup, pii, repeated, residue, split, survivor
 from millrace.runtime import stage
 
 
@@ -141,6 +141,20 @@ def p9_items(spark: SparkSession, folder: str) -> DataFrame:
     return p9_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_information(_table(spark, folder, "documents"), _table(spark, folder, "known_names"))
+    return found.select("doc_id", "kind", "char_pos").distinct()
+
+
+def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.redact(_table(spark, folder, "documents"), _table(spark, folder, "known_names"))
+
+
+def p10_names(spark: SparkSession, folder: str) -> DataFrame:
+    """The words that count as given or family names in this corpus."""
+    return pii.learn_names(_table(spark, folder, "documents"), _table(spark, folder, "known_names"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
     return dict(sorted(own.items(), key=lambda x: (int(x[0][1:].split("_")[0]), x[0])))
