@@ -82,7 +82,7 @@ def _read(size: int, least: int):
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            ids, names, keys, sizes = [], [], [], []
+            ids, names, keys, sizes, buckets = [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingles(t, size, least) if t else None
                 if s is None:
@@ -91,7 +91,9 @@ def _read(size: int, least: int):
                 names.append(xxhash.xxh3_128_digest(s.tobytes()))
                 keys.append(_group_key(s))
                 sizes.append(len(s))
-                counts += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+                buckets.append(s >> np.uint64(48))
+            if buckets:
+                counts += np.bincount(np.concatenate(buckets).astype(np.int64), minlength=BUCKETS)
             yield _row(ids, names, keys, sizes, [None] * len(ids))
         if counts.any():
             yield _row([None], [None], [None], [None], [counts.astype("<i8").tobytes()])
