@@ -241,10 +241,10 @@ def prd20_tiered_score(spark, folder):
     return _links(spark, folder).where("url is not null").select("result_id", "rank", F.round(G.tiered_link_score(F.col("url"), F.col("link_text"), F.col("base"), _TIERS), 6).alias("score"))
 
 
-@query(f"SELECT page_id FROM raw_pages WHERE regexp_matches(list_extract(string_split(regexp_replace({path_sql('page_url')}, '/+$', ''), '/'), -1), '^[a-z]{{4,}}$')")
+@query(f"SELECT page_id, regexp_matches(list_extract(string_split(regexp_replace({path_sql('page_url')}, '/+$', ''), '/'), -1), '^[a-z]{{4,}}$') AS plain FROM raw_pages")
 def prd21_plain_slugs(spark, folder):
     last = F.element_at(F.split(F.regexp_replace(T.url_path(F.col("page_url")), "/+$", ""), "/"), -1)
-    return Tables(spark, folder).raw_pages.where(last.rlike("^[a-z]{4,}$")).select("page_id")
+    return Tables(spark, folder).raw_pages.select("page_id", last.rlike("^[a-z]{4,}$").alias("plain"))
 
 
 @query("""SELECT record_id, CASE WHEN trim(coalesce(program_category, '')) = '' THEN 'Other' ELSE program_category END AS category,
