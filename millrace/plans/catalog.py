@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators.gates import page_gate
-from millrace.plans import evals, match, scan  # noqa: F401
+from millrace.plans import evals, match, more, scan  # noqa: F401
 from millrace.plans.base import QUERIES, SQL, Tables
 
 

@@ -125,3 +125,17 @@ def test_unique_by(spark):
     assert sorted(str(r["id"]) for r in unique_by(df, "id").collect()) == ["1", "2", "None"]
     once = df.distinct()
     assert unique_by(once, "id").count() == 3
+
+
+def test_boundary(spark):
+    from millrace.operators.boundary import complete, parse_reply
+
+    df = spark.createDataFrame([(1, "Food help\nYou qualify if pregnant. Call 555-0100."), (2, None), (3, "x")], "i long, p string")
+    good, bad = parse_reply(complete(df, "i", "p"))
+    got = {r["id"]: r for r in good.collect()}
+    assert got[1]["program_name"] == "Food help" and got[1]["eligibility"] == "You qualify if pregnant." and [r["id"] for r in bad.collect()] == [2]
+
+    def fails(p):
+        raise OSError(p)
+
+    assert parse_reply(complete(df, "i", "p", fails))[0].count() == 0
