@@ -26,21 +26,36 @@ BROADCAST_IDS = 2_000_000
 #: Tokens in a slice of the matrix, about; pairs of a slice that are looked at in one step.
 SLICE_TOKENS, PAIRS_AT_ONCE = 8_000_000, 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_WORDS: dict[str, int] = {}
+#: ASCII letters and digits in lower case, other ASCII as white space, bytes of other characters as they are.
+_PLAIN = bytes(ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
 
 
-def _word_hashes(found: list[str]) -> np.ndarray:
-    known = _WORDS
-    try:
-        out = [known[w] for w in found]
-    except KeyError:
-        if len(known) > 500_000:
-            known.clear()
-        for w in set(found):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w.lower())
-        out = [known[w] for w in found]
-    return np.array(out, np.uint64)
+class _Words(dict):
+    """The hash of each word between ASCII separators; several or none, as a tuple, where other characters separate."""
+
+    def __missing__(self, piece: bytes) -> int | tuple[int, ...]:
+        if len(self) > 500_000:
+            self.clear()
+        if piece.isascii():
+            out = xxhash.xxh3_64_intdigest(piece) or 1
+        else:
+            found = tuple(xxhash.xxh3_64_intdigest(w.lower()) or 1 for w in WORD.findall(piece.decode("utf-8", "surrogatepass")))
+            out = found[0] if len(found) == 1 else found
+        self[piece] = out
+        return out
+
+
+_KNOWN = _Words()
+
+
+def _word_hashes(text: str) -> np.ndarray:
+    """The hashes of the words of a text, in order."""
+    found = list(map(_KNOWN.__getitem__, text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()))
+    if not text.isascii():
+        found = list(filter(None, found))  # pieces without a word
+        if tuple in set(map(type, found)):
+            found = [y for x in found for y in (x if type(x) is tuple else (x,))]
+    return np.array(found, np.uint64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -51,15 +66,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str, size: int, least_words: int) -> np.ndarray | None:
     """The sorted set of the text's shingles; None if it has fewer words than least_words."""
-    found = WORD.findall(text)
-    n = len(found) - size + 1
-    if len(found) < least_words or n <= 0:
+    w = _word_hashes(text)
+    n = len(w) - size + 1
+    if len(w) < least_words or n <= 0:
         return None
-    w = _word_hashes(found)
     h = w[:n].copy()
     for j in range(1, size):
         h = h * _A + w[j : j + n]
-    return np.unique(_mix(h))
+    h = _mix(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def index_length(n: int, t: float) -> int:
@@ -129,7 +145,7 @@ def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _group_key(s: np.ndarray) -> int:
     """Of two min-hashes: similar sets have the same one likely."""
-    a, b = int(_mix(s * _B).min()), int(_mix(s ^ _B).min())
+    a, b = int((s * _A).min()), int((s * _B).min())
     return xxhash.xxh3_64_intdigest(a.to_bytes(8, "little") + b.to_bytes(8, "little")) >> 1
 
 
