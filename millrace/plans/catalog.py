@@ -11,12 +11,13 @@ from millrace.functions import text as T
 from millrace.operators.gates import page_gate
 from millrace.plans import evals, match, more, scan  # noqa: F401
 from millrace.plans.base import QUERIES, SQL, Tables
+from millrace.runtime import spread
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Pages through the content gate, first of each fingerprint, contacts extracted, counted by county."""
     t = Tables(spark, folder)
-    gated = page_gate(t.raw_pages, t.aliases()).select("page_id", "county", "is_program_page", T.fingerprint(F.col("text")).alias("fp"), T.phones(F.col("text")).alias("phones"))
+    gated = page_gate(spread(t.raw_pages.select("page_id", "county", "text"), "page_id"), t.aliases()).select("page_id", "county", "is_program_page", T.fingerprint(F.col("text")).alias("fp"), T.phones(F.col("text")).alias("phones"))
     first = gated.groupBy("fp").agg(F.min_by(F.struct("county", "is_program_page", "phones"), "page_id").alias("p")).select("p.*")
     return first.groupBy("county").agg(F.count("*").alias("pages"), F.count_if("is_program_page").alias("program_pages"), F.sum(F.size("phones")).alias("phones"))
 

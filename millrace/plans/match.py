@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import matching as M
 from millrace.operators import tfidf as I
-from millrace.plans.base import KEYWORD_SQL, Tables, collapse_sql, name_sql, query
+from millrace.plans.base import Tables, collapse_sql, name_sql, query
+from millrace.runtime import spread
 
 _ALIAS_DIM = """flat AS (SELECT program_id, unnest(county_aliases) AS a, unnest(range(0, len(county_aliases))) AS pos FROM program_registry),
     ad AS (SELECT trim(lower(a)) AS alias, max_by(program_id, program_id || lpad(pos::VARCHAR, 4, '0')) AS program_id, min(program_id || '#' || lpad(pos::VARCHAR, 4, '0')) AS ord FROM flat WHERE trim(a) <> '' GROUP BY 1)"""
@@ -108,8 +109,8 @@ def jon14_coverage(spark, folder):
 @query("SELECT page_id, min(c.county) AS county FROM raw_pages p JOIN (SELECT DISTINCT county FROM raw_pages WHERE trim(county) <> '') c ON contains(lower(text), trim(lower(c.county))) GROUP BY page_id")
 def jon19_county_of_text(spark, folder):
     """The first county in alphabetical order that a page's text names."""
-    t = Tables(spark, folder).raw_pages
-    names = t.where(F.trim("county") != "").select(F.col("county").alias("name")).distinct()
+    t = spread(Tables(spark, folder).raw_pages.select("page_id", "county", "text"), "page_id")
+    names = Tables(spark, folder).raw_pages.where(F.trim("county") != "").select(F.col("county").alias("name")).distinct()
     return M.first_named(t, names, "page_id", F.col("text")).select(F.col("id").alias("page_id"), F.col("name").alias("county"))
 
 
@@ -143,7 +144,7 @@ _WINDOWS = f"w AS (SELECT doc_id, list_filter(string_split({collapse_sql('lower(
 
 @query(f"WITH {_WINDOWS} SELECT doc_id, start, array_to_string(w[start + 1:start + 60], ' ') AS window FROM s")
 def win6_word_windows(spark, folder):
-    out = I.word_windows(Tables(spark, folder).documents.where("text is not null"), "doc_id", F.col("text"))
+    out = I.word_windows(spread(Tables(spark, folder).documents.select("doc_id", "text").where("text is not null"), "doc_id"), "doc_id", F.col("text"))
     return out.select(F.col("id").alias("doc_id"), F.col("start").cast("long").alias("start"), "window")
 
 
@@ -154,7 +155,7 @@ def jon11_window_scan(spark, folder):
     """Documents times programs, each at its best window."""
     t = Tables(spark, folder)
     v, w = I.fit(I.corpus(t.program_registry))
-    out = I.scan_windows(t.documents.where("text is not null"), t.program_registry.select("program_id"), v, w, "doc_id", F.col("text"), 0.2)
+    out = I.scan_windows(spread(t.documents.select("doc_id", "text").where("text is not null"), "doc_id"), t.program_registry.select("program_id"), v, w, "doc_id", F.col("text"), 0.2)
     return out.select(F.col("id").alias("doc_id"), "program_id", F.col("start").cast("long").alias("start"), "score")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import gates as G
 from millrace.operators.matching import dictionary
+from millrace.runtime import spread
 from millrace.plans.base import ALIAS_SQL, KEYWORD_SQL, Tables, collapse_sql, host_sql, name_sql, parts_sql, path_sql, query, sql_list
 from millrace.sources.files import latest_version
 from millrace.sources.sinks import page_key, publish_rows
@@ -119,14 +120,14 @@ _SCORE = "(SELECT count(*) FROM alias WHERE contains(low, alias)) + CASE WHEN le
 @query(f"WITH {ALIAS_SQL}, p AS (SELECT page_id, lower(coalesce(text, '')) AS low FROM raw_pages) SELECT page_id, {_SCORE.format(ind=sql_list(G.INDICATORS))} AS score FROM p")
 def prd2_content_score(spark, folder):
     t = Tables(spark, folder)
-    low = t.raw_pages.select("page_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    low = spread(t.raw_pages.select("page_id", "text"), "page_id").select("page_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     return low.select("page_id", G.content_score(F.col("low"), t.aliases()).cast("long").alias("score"))
 
 
 @query(f"WITH {ALIAS_SQL}, p AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents) SELECT doc_id, {_SCORE.format(ind=sql_list(G.FEWER_INDICATORS))} AS score FROM p")
 def prd3_document_score(spark, folder):
     t = Tables(spark, folder)
-    low = t.documents.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    low = spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     return low.select("doc_id", G.content_score(F.col("low"), t.aliases(), G.FEWER_INDICATORS).cast("long").alias("score"))
 
 
@@ -134,7 +135,7 @@ def prd3_document_score(spark, folder):
     SELECT page_id, score, CASE WHEN length(low) < 200 THEN 'page too short' WHEN score < 1 THEN 'no registry signal' ELSE 'program page' END AS reason FROM s""")
 def prd4_program_pages(spark, folder):
     t = Tables(spark, folder)
-    return G.page_gate(t.raw_pages, t.aliases()).select("page_id", F.col("score").cast("long").alias("score"), "reason")
+    return G.page_gate(spread(t.raw_pages.select("page_id", "text"), "page_id"), t.aliases()).select("page_id", F.col("score").cast("long").alias("score"), "reason")
 
 
 _EXCLUDED = ["parks", "elections", "animal", "permit", "transit", "library"]
@@ -217,7 +218,7 @@ _CLASS_SQL = f"""(SELECT count(*) FROM keyword WHERE contains(low, word)) * 2.0
 @query(f"WITH {KEYWORD_SQL}, p AS (SELECT page_id, lower(coalesce(text, '')) AS low FROM raw_pages), s AS (SELECT page_id, ({_CLASS_SQL})::DOUBLE AS score FROM p) SELECT page_id, score, score >= 5 AS is_program FROM s")
 def prd18_classify_pages(spark, folder):
     t = Tables(spark, folder)
-    low = t.raw_pages.select("page_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    low = spread(t.raw_pages.select("page_id", "text"), "page_id").select("page_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     return low.select("page_id", G.page_class_score(F.col("low"), t.keywords()).alias("score")).withColumn("is_program", F.col("score") >= 5)
 
 
@@ -291,7 +292,7 @@ def fn_fingerprint(spark, folder):
 @query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\(?[0-9]{3}\)?[-. \t\n\r\f\v]?[0-9]{3}[-. \t\n\r\f\v]?[0-9]{4}'))), '|') AS phones,
     array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}'))), '|') AS emails FROM documents WHERE text IS NOT NULL""")
 def fn_contacts(spark, folder):
-    t = Tables(spark, folder).documents.where("text is not null")
+    t = spread(Tables(spark, folder).documents.select("doc_id", "text").where("text is not null"), "doc_id")
     return t.select("doc_id", F.array_join(T.phones(F.col("text")), "|").alias("phones"), F.array_join(T.emails(F.col("text")), "|").alias("emails"))
 
 
