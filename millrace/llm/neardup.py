@@ -23,8 +23,8 @@ BUCKETS = 1 << 16
 GROUP_SIZE = 32
 #: Up to so many ids are broadcast to the texts; beyond, the texts are shuffled to the ids.
 BROADCAST_IDS = 2_000_000
-#: Tokens in a slice of the matrix, about; pairs of a slice that are looked at in one step.
-SLICE_TOKENS, PAIRS_AT_ONCE = 8_000_000, 1_000_000
+#: Tokens of the sets behind a slice of the matrix, about (a third of them are in it); pairs of a slice that are looked at in one step.
+SLICE_TOKENS, PAIRS_AT_ONCE = 4_000_000, 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: ASCII letters and digits in lower case, other ASCII as white space, bytes of other characters as they are.
 _PLAIN = bytes(ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
@@ -182,7 +182,7 @@ def near_duplicates(df: DataFrame, id_col: str = "page_id", text_col: str = "tex
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // SLICE_TOKENS))
     placed = _narrowed(own, groups.select(F.col("class").alias("id"), "grp"), leaders).select("id", "grp", "text")
     rows = map_batches(placed, lambda b: _matrix(b, size, least_words, threshold, kept.value, slices), "slice int, class long, grp long, n int, places binary, bitmap binary")
-    found = rows.repartition(slices, "slice").mapInArrow(lambda batches: _qualify(batches, threshold), "g1 long, g2 long")
+    found = rows.repartitionById(slices, "slice").mapInArrow(lambda batches: _qualify(batches, threshold), "g1 long, g2 long")
     pairs = stage(found.distinct(), "pairs")
 
     needed = pairs.select(F.explode(F.array("g1", "g2")).alias("grp")).union(groups.where("size > 1").select("grp")).distinct()
