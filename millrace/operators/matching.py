@@ -31,8 +31,8 @@ def alias_dimension(registry: DataFrame, id_col: str = "program_id", aliases: tu
 def first_alias(lowered: Column, ordered: list[tuple[str, str]], whole: bool = True) -> Column:
     """The program of the first alias (alias, program) that the text holds; not whole: of two words or more, all of
     whose words it holds somewhere."""
-    out = F.lit(None).cast("string")
-    for alias, program in reversed(ordered):
+    branches = []
+    for alias, program in ordered:
         parts = alias.split()
         if whole:
             hit = lowered.contains(alias)
@@ -42,7 +42,17 @@ def first_alias(lowered: Column, ordered: list[tuple[str, str]], whole: bool = T
                 hit = hit & lowered.contains(p)
         else:
             continue
-        out = F.when(hit, F.lit(program)).otherwise(out)
+        branches.append((hit, F.lit(program)))
+    return _first(branches)
+
+
+def _first(branches: list[tuple[Column, Column]]) -> Column:
+    """The value of the first condition that holds, as one flat CASE; null if none does."""
+    if not branches:
+        return F.lit(None).cast("string")
+    out = F.when(*branches[0])
+    for hit, value in branches[1:]:
+        out = out.when(hit, value)
     return out
 
 
@@ -92,9 +102,7 @@ def exact_then_contained(df: DataFrame, aliases: DataFrame, id_col: str, name: C
     An equality join for the first, the dictionary as literals for what it leaves over; an empty name matches nothing."""
     named = df.select(F.col(id_col).alias("id"), T.normalize_name(name).alias("name"))
     exact = named.join(aliases.select(F.col("alias").alias("name"), F.col("program_id").alias("equal")), "name", "left")
-    out = F.lit(None).cast("string")
-    for _, alias, program in sorted(dictionary(aliases, "ord", "alias", "program_id"), reverse=True):
-        out = F.when(F.col("name").contains(alias) | F.lit(alias).contains(F.col("name")), F.lit(program)).otherwise(out)
+    out = _first([(F.col("name").contains(a) | F.lit(a).contains(F.col("name")), F.lit(p)) for _, a, p in sorted(dictionary(aliases, "ord", "alias", "program_id"))])
     return exact.select("id", "name", F.when(F.col("name") != "", F.coalesce("equal", out)).alias("program_id"))
 
 
@@ -106,9 +114,7 @@ def first_named(df: DataFrame, names: DataFrame, id_col: str, text: Column, most
     low = df.select(F.col(id_col).alias("id"), F.lower(text).alias("low")).where("low is not null")
     few = [r[0] for r in names.select("name").distinct().orderBy("name").limit(most + 1).collect()]
     if len(few) <= most:
-        out = F.lit(None).cast("string")
-        for n in reversed(few):
-            out = F.when(F.col("low").contains(n.strip().lower()), F.lit(n)).otherwise(out)
+        out = _first([(F.col("low").contains(n.strip().lower()), F.lit(n)) for n in few])
         return low.select("id", out.alias("name")).where("name is not null")
     hits = low.join(names.select("name").distinct(), F.col("low").contains(F.trim(F.lower("name"))))
     return hits.groupBy("id").agg(F.min("name").alias("name"))

@@ -15,10 +15,14 @@ def corpus(registry: DataFrame) -> DataFrame:
     return registry.select(F.col("program_id").alias("doc_id"), F.lower(parts).alias("text"))
 
 
-def term_counts(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """id, term, tf: the share of a term of three letters or more in the terms of the text."""
+def term_counts(df: DataFrame, id_col: str, text: Column, vocabulary: DataFrame | None = None) -> DataFrame:
+    """id, term, tf: the share of a term of three letters or more in the terms of the text. With a vocabulary (term)
+    other terms are dropped before anything is counted or shuffled, though they count in the share."""
     terms = df.select(F.col(id_col).alias("id"), T.tokens(text, 3).alias("t"))
-    return terms.select("id", F.size("t").alias("n"), F.explode("t").alias("term")).groupBy("id", "term").agg((F.count("*") / F.first("n")).alias("tf"))
+    each = terms.select("id", F.size("t").alias("n"), F.explode("t").alias("term"))
+    if vocabulary is not None:
+        each = each.join(vocabulary.select("term"), "term", "left_semi")
+    return each.groupBy("id", "term").agg((F.count("*") / F.first("n")).alias("tf"))
 
 
 def idf(counts: DataFrame, n_docs: int) -> DataFrame:
@@ -65,7 +69,7 @@ def scan_windows(pages: DataFrame, absent: DataFrame, docs: DataFrame, weights:
     """id, program_id, start, score: for each page and absent program the best window, if it reaches the threshold.
     Windows are made once a page and scored against all absent programs by one join on terms."""
     w = word_windows(pages, id_col, text).withColumn("key", F.struct("id", "start"))
-    q = vectors(term_counts(w, "key", F.col("window")), weights)
+    q = vectors(term_counts(w, "key", F.col("window"), weights), weights)
     few = docs.join(absent.select(F.col("program_id").alias("id")), "id", "left_semi")
     scored = similarities(q, few).select(F.col("id.id").alias("id"), F.col("id.start").alias("start"), F.col("doc_id").alias("program_id"), F.round("score", 6).alias("score"))
     best = scored.groupBy("id", "program_id").agg(F.min_by("start", F.struct(-F.col("score"), "start")).alias("start"), F.max("score").alias("score"))

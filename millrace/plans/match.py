@@ -8,7 +8,7 @@ from millrace.functions import text as T
 from millrace.operators import matching as M
 from millrace.operators import tfidf as I
 from millrace.plans.base import Tables, collapse_sql, name_sql, query
-from millrace.runtime import spread
+from millrace.runtime import spread, stage
 
 _ALIAS_DIM = """flat AS (SELECT program_id, unnest(county_aliases) AS a, unnest(range(0, len(county_aliases))) AS pos FROM program_registry),
     ad AS (SELECT trim(lower(a)) AS alias, max_by(program_id, program_id || lpad(pos::VARCHAR, 4, '0')) AS program_id, min(program_id || '#' || lpad(pos::VARCHAR, 4, '0')) AS ord FROM flat WHERE trim(a) <> '' GROUP BY 1)"""
@@ -135,7 +135,7 @@ def agg7_registry_vectors(spark, folder):
 def jon12_semantic_match(spark, folder):
     t = Tables(spark, folder)
     v, w = I.fit(I.corpus(t.program_registry))
-    q = I.vectors(I.term_counts(t.structured_programs, "record_id", F.concat_ws(" ", "program_name", "program_description")), w)
+    q = I.vectors(I.term_counts(t.structured_programs, "record_id", F.concat_ws(" ", "program_name", "program_description"), w), w)
     return I.best_match(q, v).withColumnRenamed("id", "record_id")
 
 
@@ -168,10 +168,10 @@ _EVENTS = f"""{_MATCH}, {_TFIDF}, q AS (SELECT record_id AS id, lower(concat_ws(
 def _events(spark, folder):
     t = Tables(spark, folder)
     v, w = I.fit(I.corpus(t.program_registry))
-    best = I.best_match(I.vectors(I.term_counts(t.structured_programs, "record_id", F.concat_ws(" ", "program_name", "program_description")), w), v)
+    best = I.best_match(I.vectors(I.term_counts(t.structured_programs, "record_id", F.concat_ws(" ", "program_name", "program_description"), w), w), v)
     own = t.structured_programs.where("program_name is not null").select(F.col("record_id").alias("id"), F.col("county_code").alias("county"), F.col("program_website_url").alias("url"), F.col("program_name").alias("name"))
     joined = own.join(_matched(spark, folder).select("id", "program_id"), "id").join(best.select("id", F.col("program_id").alias("semantic_match"), F.col("score").alias("semantic_score")), "id", "left")
-    return joined.withColumn("semantic_score", F.coalesce("semantic_score", F.lit(0.0))).withColumn("ord", F.col("id"))
+    return stage(joined.withColumn("semantic_score", F.coalesce("semantic_score", F.lit(0.0))).withColumn("ord", F.col("id")), "events")
 
 
 @query(f"""WITH {_EVENTS}, g AS (SELECT {name_sql('name')} AS norm_name, arg_min(name, record_id) AS extracted_name, count(DISTINCT county) AS n_counties, count(*) AS frequency, max(semantic_score) AS semantic_score,
