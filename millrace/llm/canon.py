@@ -100,6 +100,9 @@ class Matcher:
                 self.exact[key] = entry
                 self.tree.add(key)
                 self.vocabulary.update(key.split())
+        self.by_count: dict[int, list[str]] = {}
+        for key in sorted(self.exact):
+            self.by_count.setdefault(key.count(" ") + 1, []).append(key)
         self.by_skeleton: dict[str, str] = {}
         for w in sorted(self.vocabulary):
             if len(w) > 4:
@@ -183,7 +186,52 @@ class Matcher:
                 hits = self.tree.within(key, most)
                 if hits and (best is None or hits[0][0] < best[0]):
                     best = hits[0][0], self.exact[hits[0][1]]
-        return best
+        return best or self._with_swaps(readings[:4]) or (self._abbreviated(readings) if "." in value else None)
+
+    def _with_swaps(self, readings: list[str]) -> tuple[int, str] | None:
+        """The closest entry if two letters exchanged count as one edit, not two: the tree gives all names within one
+        edit more, those are compared again."""
+        found = []
+        for key in dict.fromkeys(map(fold, readings)):
+            if len(key) >= 8:
+                for d, name in self.tree.within(key, reach(len(key)) + 1):
+                    if swaps(key, name) < reach(len(key)):
+                        found.append((d, name, self.exact[name]))
+        return (min(found)[0], min(found)[2]) if found else None
+
+    def _abbreviated(self, readings: list[str]) -> tuple[int, str] | None:
+        """The closest entry word by word, where a word with a point may be the beginning of the entry's."""
+        best = None
+        for x in readings:
+            found = [(m[1], bool(m[2])) for m in re.finditer(r"([^\W_]+)(\.?)", unicodedata.normalize("NFKD", x.replace("&", " and ")).lower())]
+            for name in self.by_count.get(len(found), ()):
+                cost = 0
+                for (w, cut), full in zip(found, name.split(" ")):
+                    d = distance(w, full)
+                    if cut and d:
+                        d = min(d, *(swaps(w, full[: len(w) + k]) for k in (-1, 0, 1)))
+                    cost += d
+                    if d > max(1, len(w) // 3) or cost > 3:
+                        break
+                else:
+                    if best is None or (cost, name) < best[:2]:
+                        best = (cost, name, self.exact[name])
+        return (best[0], best[2]) if best else None
+
+
+def swaps(a: str, b: str) -> int:
+    """Edit distance in which the exchange of two neighbours is one edit."""
+    before: list[int] = []
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        nxt = [i + 1]
+        for j, y in enumerate(b):
+            v = min(nxt[-1] + 1, row[j + 1] + 1, row[j] + (x != y))
+            if i and j and x == b[j - 1] and y == a[i - 1]:
+                v = min(v, before[j - 1] + 1)
+            nxt.append(v)
+        before, row = row, nxt
+    return row[-1]
 
 
 def reach(length: int) -> int:

@@ -115,6 +115,7 @@ def _kinds(lines: list[str]) -> tuple[list[int], list[int]]:
 
 _CODE = {k: i for i, k in enumerate(NAMES)}
 _FIRM = {_CODE[k] for k in ("sentence", "list", "contact")}
+_BODY_CODES = {_CODE[k] for k in _BODY}
 _AFTER_BOX = _FIRM | {_CODE["text"]}
 #: Neighbours whose kinds count: the line itself, the one before, ...
 _NEAR = (0, -1, 1, -2, 2)
@@ -122,12 +123,12 @@ _NEAR = (0, -1, 1, -2, 2)
 
 def _shapes(lines: list[str], at: list[int], codes: list[int]) -> list[tuple[float, ...]]:
     """What counts of each line besides kinds: 1, in a side box, before the body, length, first, last, after a blank
-    line, last of a side box before the body."""
+    line, last of a side box before the body, one of titles between furniture behind the body."""
     n = len(at)
-    box = _boxes(codes)
+    box, between = _boxes(codes), _between(codes)
     body = next((j for j in range(n) if codes[j] in _FIRM), n)
     return [
-        (1.0, float(box[j]), float(j < body), min(len(lines[at[j]].strip()), 200) / 200, float(j == 0), float(j == n - 1), float(j > 0 and at[j] - at[j - 1] > 1), float(box[j] and j + 1 < n and codes[j + 1] in _AFTER_BOX))
+        (1.0, float(box[j]), float(j < body), min(len(lines[at[j]].strip()), 200) / 200, float(j == 0), float(j == n - 1), float(j > 0 and at[j] - at[j - 1] > 1), float(box[j] and j + 1 < n and codes[j + 1] in _AFTER_BOX), float(between[j]))
         for j in range(n)
     ]
 
@@ -136,7 +137,7 @@ def features(lines: list[str]) -> tuple[np.ndarray, list[int]]:
     """A row for each non-blank line, and the numbers of these lines (from 1)."""
     at, codes = _kinds(lines)
     n, k = len(at), len(NAMES)
-    out = np.zeros((n, 5 * k + 8), np.float32)
+    out = np.zeros((n, 5 * k + 9), np.float32)
     for j in range(n):
         for s, d in enumerate(_NEAR):
             if 0 <= j + d < n:
@@ -146,6 +147,23 @@ def features(lines: list[str]) -> tuple[np.ndarray, list[int]]:
     return out, [i + 1 for i in at]
 
 
+def _between(codes: list[int]) -> list[bool]:
+    """Whether each line belongs to titles that stand between furniture after the body has begun."""
+    out, n, begun, j = [False] * len(codes), len(codes), False, 0
+    while j < n:
+        if codes[j] == _CODE["title"]:
+            end = j
+            while end < n and codes[end] == _CODE["title"]:
+                end += 1
+            if begun and codes[j - 1] not in _BODY_CODES and end < n and codes[end] not in _BODY_CODES:
+                out[j:end] = [True] * (end - j)
+            j = end
+        else:
+            begun |= codes[j] in _FIRM
+            j += 1
+    return out
+
+
 def _boxes(codes: list[int]) -> list[bool]:
     """Whether each line lies in a side box: a run of links and titles with a head or a link before the line."""
     out, inside = [], False
@@ -163,10 +181,11 @@ def fit(labelled: list[tuple[int, str, dict[int, bool]]], rounds: int = 400) ->
     """Weights of a logistic model from pages (id, text, line number -> is main), with the kinds' own evidence as the
     prior, so that kinds without labels are still decided."""
     k = len(NAMES)
-    prior = np.zeros(5 * k + 8, np.float32)
+    prior = np.zeros(5 * k + 9, np.float32)
     for name in NAMES:
         prior[NAMES.index(name)] = 3.0 if name in _BODY else -4.0
     prior[5 * k + 1] = -4.0
+    prior[5 * k + 8] = -4.0
     xs, ys = [], []
     for _, text, labels in labelled:
         x, nos = features(visible_lines(text))
