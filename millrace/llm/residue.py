@@ -49,13 +49,30 @@ def mask(line: str) -> str:
 _FILLER_HINTS = ("placeholder", "sample ", "your text", "relleno", "remplissage", "test page", "blah", "asdf", "dummy", "de prueba", "xxx")
 _LATIN_HINTS = ("ipsum", "lorem", "consectetur", "adipiscing", "eiusmod", "incididunt", "nostrud", "aliqua", "veniam", "minim ", "elit ")
 _SLOT_HINTS = ("{", "@@", "[[", "[i", "[y", "[e", "[a", "[t", "[o", "<", "undefined", "xx/", "__")
-#: A text without any of these words holds no message.
+_TURN_ON = ("enable", "turn on", "activate", "allow", "active", "activez", "habilite")
+#: A text without any of these words (white space collapsed) and without _MARKS holds no message: each alternative of
+#: MESSAGE needs one of them.
 _HINTS = (
-    "loading", "please wait", "cargando", "javascript", "scripts", "scripting", "traceback", "fatal", "exception", "error", "warning: ", "failed to", "on line", "stack trace", "mysql", "sqlstate", "ora-",
+    "loading", "please wait", "cargando", "javascript", "scripts", "script is ", "script are ", "switched off", "traceback", "fatal", "exception", "error", "warning: ", "failed to", "on line", "stack trace", "mysql", "sqlstate", "ora-",
     "oops", "sorry", "went wrong", "unavailable", "not found", "not available", "expired", "maintenance", "is gone", "gone away", "establishing", "forbidden", "unauthor", "timeout", "timed out", "upstream",
     "no encontrad", "no existe", "introuvable", "n'existe pas", "找不到", "不存在", "无法访问", "启用", "exist on", "or removed", "been moved", "have moved", "broken", "nothing lives", "too many", "slow down",
-    "restricted", "staff account", "denied", "blocked", "have permission", "permission is", "permission denied", "not author", "a robot", "a human", "browser", "start page", "denegado", "prohibido", "refusé", "interdit",
+    "restricted", "log in again", "sign in with", "denied", "blocked", "have permission", "not author", "a robot", "a human", "you are human", "browser", "start page", "denegado", "prohibido", "refusé", "interdit", "une erreur",
+    "internal problem", "internal server problem", *(f"{w} missing" for w in ("service", "page", "site", "content", "file", "is", "temporarily")),
+    *(f"{a} {b}" for a in ("gateway", "connection", "request") for b in ("refused", "reset")), *(f"{a} {b}" for a in _TURN_ON for b in ("script", "cookies")),
 )
+#: The alternatives whose words are too common to be hints: a frame of a stack trace, and what mask() makes "file <*>" or
+#: "<*> bad", "<*> internal", "<*> service" (lines in lower case).
+_MARKS = re.compile(
+    r"^[^\S\n]*(?:at[^\S\n]+[\w.$]+\(|file[^\S\n]+(?:[\"']|\S*[\d/\x80-\U0010ffff])|\(?(?:\S*[\d/\x80-\U0010ffff]\S*|[^\n]*[\"'])[^\S\n]*[-:]?[^\S\n]*(?:internal|bad|service))",
+    re.M,
+)
+
+
+def may_hold_message(lines: list[str]) -> bool:
+    """Whether any line can match MESSAGE, as it is or masked; cheap, true for more lines than do."""
+    low = "\n".join(lines).lower()
+    flat = " ".join(low.split())
+    return any(w in flat for w in _HINTS) or bool(_MARKS.search(low))
 
 
 def has_residue(lines: list[str], text: str, low: str) -> bool:
@@ -110,7 +127,7 @@ def _read(b: pa.RecordBatch):
         lines, low = visible_lines(t), t.lower()
         bad = has_residue(lines, t, low)
         messages: list[dict] = []
-        if not bad and any(w in low for w in _HINTS):
+        if not bad and may_hold_message(lines):
             for x in lines:
                 k = kind_of(x)
                 if k in _BODY or (k not in _PLAIN and MESSAGE.search(clean(x))):
