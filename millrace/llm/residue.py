@@ -35,31 +35,50 @@ MESSAGE = re.compile(
 )
 #: Furniture that can't be mistaken for a message.
 _PLAIN = {"menu", "bar", "crumb", "head", "link", "legal", "meta"}
-#: Messages are shorter than this.
+#: Masked lines of so many characters or more are judged sentence by sentence.
 MESSAGE_CHARS = 200
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 
 
 def mask(line: str) -> str:
-    """A line with its variable parts (quotations, paths, whatever holds a digit) as <*>; 40 tokens at most."""
+    """A line with its variable parts (quotations, paths, whatever holds a digit) as <*>."""
     t = _QUOTED.sub("<*>", clean(line)) if "'" in line or '"' in line else clean(line)
-    return " ".join(["<*>" if x.count("/") > 1 or any(c.isdigit() for c in x) else x for x in t.split(" ")[:40]])
+    if "/" not in t and not any(map(str.isdigit, t)):
+        return t
+    return " ".join(["<*>" if x.count("/") > 1 or any(map(str.isdigit, x)) else x for x in t.split(" ")])
+
+
+def parts(line: str) -> list[str]:
+    """What is judged of a line, masked: the line, or its sentences if it is a long one."""
+    if len(line) >= MESSAGE_CHARS:
+        own = [mask(x) for x in _SENTENCE.split(line.strip()) if x.strip()]
+        if sum(map(len, own)) + len(own) > MESSAGE_CHARS:
+            return own
+    return [mask(line)]
 
 
 _FILLER_HINTS = ("placeholder", "sample ", "your text", "relleno", "remplissage", "test page", "blah", "asdf", "dummy", "de prueba", "xxx")
 _LATIN_HINTS = ("ipsum", "lorem", "consectetur", "adipiscing", "eiusmod", "incididunt", "nostrud", "aliqua", "veniam", "minim ", "elit ")
 _SLOT_HINTS = ("{", "@@", "[[", "[i", "[y", "[e", "[a", "[t", "[o", "<", "undefined", "xx/", "__")
 _TURN_ON = ("enable", "turn on", "activate", "allow", "active", "activez", "habilite")
-#: A text without any of these words (white space collapsed) and without _MARKS holds no message: each alternative of
+#: A text without any of these words or those of _HINTS_BY_WORD (white space collapsed) and without _MARKS holds no message: each alternative of
 #: MESSAGE needs one of them.
 _HINTS = (
-    "loading", "please wait", "cargando", "javascript", "scripts", "script is ", "script are ", "switched off", "traceback", "fatal", "exception", "error", "warning: ", "failed to", "on line", "stack trace", "mysql", "sqlstate", "ora-",
+    "loading", "please wait", "cargando", "switched off", "traceback", "fatal", "exception", "error", "warning: ", "failed to", "on line", "stack trace", "mysql", "sqlstate", "ora-",
     "oops", "sorry", "went wrong", "unavailable", "not found", "not available", "expired", "maintenance", "is gone", "gone away", "establishing", "forbidden", "unauthor", "timeout", "timed out", "upstream",
     "no encontrad", "no existe", "introuvable", "n'existe pas", "找不到", "不存在", "无法访问", "启用", "exist on", "or removed", "been moved", "have moved", "broken", "nothing lives", "too many", "slow down",
     "restricted", "log in again", "sign in with", "denied", "blocked", "have permission", "not author", "a robot", "a human", "you are human", "browser", "start page", "denegado", "prohibido", "refusé", "interdit", "une erreur",
-    "internal problem", "internal server problem", *(f"{w} missing" for w in ("service", "page", "site", "content", "file", "is", "temporarily")),
-    *(f"{a} {b}" for a in ("gateway", "connection", "request") for b in ("refused", "reset")), *(f"{a} {b}" for a in _TURN_ON for b in ("script", "cookies")),
+    "internal problem", "internal server problem",
 )
+#: More of them, by a word that they have in common and that is looked for first.
+_HINTS_BY_WORD = {
+    " missing": [f"{w} missing" for w in ("service", "page", "site", "content", "file", "is", "temporarily")],
+    "refused": [f"{w} refused" for w in ("gateway", "connection", "request")],
+    " reset": [f"{w} reset" for w in ("gateway", "connection", "request")],
+    "script": ["javascript", "scripts", "script is ", "script are ", *(f"{w} script" for w in _TURN_ON)],
+    " cookies": [f"{w} cookies" for w in _TURN_ON],
+}
 #: The alternatives whose words are too common to be hints: a frame of a stack trace, and what mask() makes "file <*>" or
 #: "<*> bad", "<*> internal", "<*> service" (lines in lower case).
 _MARKS = re.compile(
@@ -72,7 +91,10 @@ def may_hold_message(lines: list[str]) -> bool:
     """Whether any line can match MESSAGE, as it is or masked; cheap, true for more lines than do."""
     low = "\n".join(lines).lower()
     flat = " ".join(low.split())
-    return any(w in flat for w in _HINTS) or bool(_MARKS.search(low))
+    for w in _HINTS:
+        if w in flat:
+            return True
+    return any(w in flat and any(x in flat for x in own) for w, own in _HINTS_BY_WORD.items()) or bool(_MARKS.search(low))
 
 
 def has_residue(lines: list[str], text: str, low: str) -> bool:
@@ -118,8 +140,9 @@ class PrefixTree:
 
 
 def _read(b: pa.RecordBatch):
-    """The pages with residue, and the lines of those pages that may hold a message: masked, and whether a line is
-    such as bodies consist of (a sentence, a list item, a contact)."""
+    """The pages with residue, and the lines of those pages that may hold a message: masked, by sentences if they are
+    long, with the number of the line, whether it is the line's first sentence, and whether the line is such as bodies
+    consist of (a sentence, a list item, a contact)."""
     cols: tuple[list, ...] = ([], [], [])
     for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
         if not t:
@@ -128,18 +151,21 @@ def _read(b: pa.RecordBatch):
         bad = has_residue(lines, t, low)
         messages: list[dict] = []
         if not bad and may_hold_message(lines):
-            for x in lines:
+            for no, x in enumerate(lines):
                 k = kind_of(x)
                 if k in _BODY or (k not in _PLAIN and MESSAGE.search(clean(x))):
-                    messages.append({"message": mask(x), "real": k != "title"})
+                    messages += [{"message": m, "real": k != "title", "line": no, "first": j == 0} for j, m in enumerate(parts(x))]
         if bad or messages:
             cols[0].append(i)
             cols[1].append(bad)
             cols[2].append(messages)
-    message = pa.struct([("message", pa.string()), ("real", pa.bool_())])
+    message = pa.struct([("message", pa.string()), ("real", pa.bool_()), ("line", pa.int32()), ("first", pa.bool_())])
     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.list_(message))], ["id", "residue", "messages"])
 
 
+_READ = "id long, residue boolean, messages array<struct<message:string,real:boolean,line:int,first:boolean>>"
+
+
 def _verdicts(batches):
     """The messages of a task's leaves: their templates, and for each template, once, whether it is an error message,
     a refusal or a demand for scripts. The verdict of a template holds for all its messages."""
@@ -167,21 +193,24 @@ def residue_pages(df: DataFrame, id_col: str = "page_id", text_col: str = "text"
     """id, reason (slot or filler: "residue"; "message") of the pages that hold no real content or hold residue.
 
     A page whose body is only messages, or these and no more short lines than there are messages, is a case; one with
-    a real body (a sentence, list or contact line besides) is not. Null and empty texts are no cases. Rows repeated
+    a real body (a sentence, list or contact line besides) is not. A long line is a message if half of its sentences
+    are, or a third with the first among them: a mention within a paragraph makes no message of it. Null and empty texts are no cases. Rows repeated
     with one id count once. Shuffled are only the masked lines of the few pages that hold a word of messages."""
     own = spread(unique_by(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null"), "id"), "id")
-    read = stage(map_batches(own, _read, "id long, residue boolean, messages array<struct<message:string,real:boolean>>"), "messages")
+    read = stage(map_batches(own, _read, _READ), "messages")
     lines = read.select("id", F.explode("messages").alias("m")).select("id", "m.*")
-    judged = lines.join(templates(lines.where(F.length("message") < MESSAGE_CHARS)).where("bad").select("message", "bad"), "message", "left").groupBy("id").agg(
-        F.count("bad").alias("n_bad"), F.count_if(F.col("bad").isNull() & F.col("real")).alias("n_real"), F.count_if(F.col("bad").isNull()).alias("n_rest")
-    )
-    messages = judged.where("n_bad > 0 and n_real = 0 and n_rest <= n_bad").select("id", F.lit("message").alias("reason"))
+    judged = lines.join(templates(lines).where("bad").select("message", "bad"), "message", "left")
+    n, n_bad = F.count("*"), F.count("bad")
+    says = (n_bad * 2 >= n) | ((n_bad * 3 >= n) & (F.count_if(F.col("first") & F.col("bad")) > 0))
+    by_line = judged.repartition("id").groupBy("id", "line").agg(says.alias("bad"), F.max("real").alias("real"))
+    pages = by_line.groupBy("id").agg(F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad") & F.col("real")).alias("n_real"), F.count_if(~F.col("bad")).alias("n_rest"))
+    messages = pages.where("n_bad > 0 and n_real = 0 and n_rest <= n_bad").select("id", F.lit("message").alias("reason"))
     return read.where("residue").select("id", F.lit("residue").alias("reason")).unionByName(messages)
 
 
 def residue_templates(df: DataFrame, id_col: str = "page_id", text_col: str = "text") -> DataFrame:
     """template, bad, pages: the templates of the lines of pages that hold a word of messages, and their verdicts."""
     own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    read = map_batches(spread(own, "id"), _read, "id long, residue boolean, messages array<struct<message:string,real:boolean>>")
-    lines = stage(read.select("id", F.explode("messages").alias("m")).select("id", "m.message").where(F.length("message") < MESSAGE_CHARS), "lines")
+    read = map_batches(spread(own, "id"), _read, _READ)
+    lines = stage(read.select("id", F.explode("messages").alias("m")).select("id", "m.message"), "lines")
     return lines.join(templates(lines), "message").groupBy("template").agg(F.max("bad").alias("bad"), F.countDistinct("id").alias("pages"))

@@ -40,7 +40,9 @@ def test_every_alternative_needs_a_hint():
     """A form without a hint in its fixed parts must be one that _MARKS lets through."""
     every = forms(_parser.parse(residue.MESSAGE.pattern))
     assert len(every) > 300
-    bare = [f for f in every if not any(h in part for part in f.replace("<*>", "\0").split("\0") for h in residue._HINTS)]
+    hints = [*residue._HINTS, *(x for own in residue._HINTS_BY_WORD.values() for x in own)]
+    assert all(w in x for w, own in residue._HINTS_BY_WORD.items() for x in own)
+    bare = [f for f in every if not any(h in part for part in f.replace("<*>", "\0").split("\0") for h in hints)]
     assert [f for f in bare if not residue.may_hold_message([f.replace("<*>", "x1").replace("\0", "500" if f.lstrip("(")[0] == "\0" else "x")])] == []
 
 
@@ -54,3 +56,16 @@ def test_pages_of_one_message(spark):
     rows = [(k, x) for k, x in enumerate(SAMPLES) if residue.MESSAGE.search(residue.mask(x))] + [(99, "How a midwife can help\nPartners are welcome at each visit.\n502 Bad Gateway")]
     found = {r["id"] for r in residue.residue_pages(spark.createDataFrame(rows, "page_id long, text string")).collect()}
     assert found == {k for k, _ in rows} - {99}
+
+
+FIREWALL = "Access to this page has been blocked by the firewall because the request looked like those of a program that reads many pages at once. If you think this is a mistake, write to the owner of the site and give the number 18-2231 of the incident together with the time."
+SCRIPTS = "This website, which the county runs together with its partners in the region and with the help of many volunteers and several other offices of the state, which are too many to be named here, requires JavaScript"
+PARAGRAPH = "A midwife visits you at home in the first weeks after birth. Partners are welcome when we discuss warning signs and feeding. Please enable JavaScript to use the translation tool. Bring the yellow card to each visit, and call the office if you have to change the day."
+
+
+def test_long_notices(spark):
+    assert min(len(residue.mask(x)) for x in (FIREWALL, SCRIPTS, PARAGRAPH)) >= residue.MESSAGE_CHARS
+    short = "a b c d e f g h i j k l m n o p q r s t u v w x y z a b c d e f g h i j k l m n o p q r something went wrong."
+    rows = [(1, FIREWALL), (2, "Home\nNews\n" + SCRIPTS), (3, PARAGRAPH), (4, short), (5, FIREWALL + "\nA midwife visits you at home."), (6, PARAGRAPH + "\nPage not found")]
+    found = {r["id"] for r in residue.residue_pages(spark.createDataFrame(rows, "page_id long, text string")).collect()}
+    assert found == {1, 2, 4}
