@@ -168,7 +168,8 @@ _READ = "id long, residue boolean, messages array<struct<message:string,real:boo
 
 def _verdicts(batches):
     """The messages of a task's leaves: their templates, and for each template, once, whether it is an error message,
-    a refusal or a demand for scripts. The verdict of a template holds for all its messages."""
+    a refusal or a demand for scripts. The verdict of a template holds for all its messages; each message is also judged
+    by itself, as a template may have lost the words that tell."""
     tree, messages, found = PrefixTree(), [], []
     for b in batches:
         for m in b.column(0).to_pylist():

@@ -3,6 +3,7 @@
 from itertools import product
 from re import _parser
 
+import pyarrow as pa
 import pytest
 
 from millrace.llm import residue
@@ -69,3 +70,9 @@ def test_long_notices(spark):
     rows = [(1, FIREWALL), (2, "Home\nNews\n" + SCRIPTS), (3, PARAGRAPH), (4, short), (5, FIREWALL + "\nA midwife visits you at home."), (6, PARAGRAPH + "\nPage not found")]
     found = {r["id"] for r in residue.residue_pages(spark.createDataFrame(rows, "page_id long, text string")).collect()}
     assert found == {1, 2, 4}
+
+
+def test_a_template_without_the_telling_words_loses_no_message():
+    both = ["the page is meant for all", "the page is gone for good", "the page is gone for today"]
+    out = next(residue._verdicts([pa.record_batch([pa.array(sorted(both))], ["message"])])).to_pydict()
+    assert dict(zip(out["message"], out["bad"])) == {both[0]: False, both[1]: True, both[2]: True}
