@@ -31,9 +31,13 @@ PHONE = re.compile(rf"(?<![\w.\-–/$#])(?:\+\d{{1,3}}{_D}{{0,2}}|1{_D}{{1,2}})?
 ID_NUMBER = re.compile(rf"(?<![\w.\-–/$#])(?:\d{{3}}([-. –]|  )\d{{2}}\1\d{{4}}|\d{{9}}|[A-Z]\d{{7,9}}|\d[A-Z]\d{{3}}[A-Z]\d{{2}}|[A-Z]{{2}}\d{{6,7}}|[A-Z]{{2,4}}-\d{{4}}-\d{{4}}-\d)(?![\w]|[-–]\d)", re.I | re.A)
 #: Words before a number that say it is no person's.
 _NOT_PERSONAL = re.compile(r"(?:\blots?|\binvoice|\bgrant|\bform|\bresolution|\broom|\bitem|\border|\bversion|\bmodel|\bcase law|\bbill|\bpermit|\bpart|\bserial|\bsku|\btotal was|\blote|\bfactura|\bformulario|\brésolution|\bfacture|\$)[ \t :#n°º.]{0,4}(?:no\.?|number|numéro)?\s?$", re.I)
+#: A word of a street's name: letters with hyphens and apostrophes, an abbreviation with its point, or an ordinal. Of
+#: three words and more each has a capital or is a small word, or else sentences would be taken for streets.
+_STREET_WORD = r"(?:(?:st|ste|mt|ft|dr|jr|sr|[a-z])\.|[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d{1,3}(?:st|nd|rd|th)\b)"
+_CAPITAL_WORD = rf"(?:(?=(?-i:[A-ZÀ-ÖØ-Þ\d])){_STREET_WORD}|(?:of|the|and|de|la|del|las|los|y)\b)"
 _TYPE = r"(?:street|avenue|boulevard|terrace|parkway|highway|circle|square|drive|court|place|trail|lane|road|pkwy|blvd|way|ave|ter|cir|hwy|st|rd|dr|ln|ct|pl)"
 ADDRESS = re.compile(
-    rf"\d{{1,5}}(?:-?[a-z])?{_S}{{1,2}}(?:(?:north|south|east|west|[nsew])\.?{_S}{{1,2}})?(?:[^\W\d_]+{_S}{{1,2}}){{1,2}}?{_TYPE}\b\.?"
+    rf"\d{{1,5}}(?:-?[a-z])?{_S}{{1,2}}(?:(?:north|south|east|west|[nsew])\.?{_S}{{1,2}})?(?:(?:{_STREET_WORD}{_S}{{1,2}}){{1,2}}?|(?:{_CAPITAL_WORD}{_S}{{1,2}}){{3,5}}?){_TYPE}\b\.?"
     rf"(?:,?{_S}{{1,2}}(?:apt|unit|space|suite|ste)\.?{_S}{{0,2}}\#?\d+[a-z]?|,?{_S}{{1,2}}\#\d+[a-z]?)?",
     re.I,
 )
