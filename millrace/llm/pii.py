@@ -367,9 +367,14 @@ def _with_model(docs: DataFrame, known: DataFrame, fn, schema: str, id_col: str,
             yield fn(b.column(0).to_pylist(), texts, [model] * len(texts))
 
         return map_batches(own, of, schema)
-    caps = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(r"(\p{Lu}\p{L}+)"), F.lit(1)))
     tagged = own.withColumn("row", F.xxhash64("doc_id", "text"))
-    pairs = tagged.select("row", F.explode(F.transform(caps, lambda w: F.lower(w))).alias("word")).distinct().join(words, "word")
+
+    def tokens(b: pa.RecordBatch):
+        found = [(i, w) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for w in {x[2] for x in _tokens(t)}]
+        rows, own_words = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(own_words, pa.string())], ["row", "word"])
+
+    pairs = map_batches(tagged.select("row", "text"), tokens, "row long, word string").distinct().join(words, "word")
     per_row = pairs.groupBy("row").agg(F.collect_list(F.struct("word", "given", "family")).alias("words"))
 
     def each(b: pa.RecordBatch):

@@ -14,3 +14,18 @@ def test_addresses(address):
 @pytest.mark.parametrize("text", ["Parents who finish 9 lessons on building a support circle receive a book.", "It holds 72 people. The Ravenell Street office keeps more.", "Call within 78 days to ask for help. Dr. Pascua signs."])
 def test_no_addresses(text):
     assert pii.find_pii(text, pii.NameModel({})) == []
+
+
+def test_names_with_apostrophes_on_both_ways(spark):
+    rows = [(k, f"Thanks, {g} O'Brien, for the visit.") for k, g in enumerate(("Tindra", "Paloma", "Tindra", "Paloma"))]
+    docs = spark.createDataFrame([*rows, (9, "Zarix O’Brien wrote."), (10, None)], "doc_id long, text string")
+    known = spark.createDataFrame([("Tindra", "given"), ("Paloma", "given"), ("O'Brien", "family"), ("O’Brien", "family")], "name_text string, name_kind string")
+    few, many = ({tuple(r) for r in pii.personal_information(docs, known, broadcast_words=most).collect()} for most in (10**6, 0))
+    assert few == many and {r[3] for r in few} >= {"Tindra O'Brien", "Paloma O'Brien"}
+
+
+def test_words_of_documents_are_those_of_the_model(spark):
+    """The potentials stand under the word with its apostrophe only."""
+    docs = spark.createDataFrame([(1, "We met Wenlis O'Brien.")], "doc_id long, text string")
+    known = spark.createDataFrame([("Wenlis", "given"), ("O'Brien", "family")], "name_text string, name_kind string")
+    assert [r["found"] for r in pii.personal_information(docs, known, broadcast_words=0).collect()] == ["Wenlis O'Brien"]
