@@ -14,15 +14,18 @@ _IMPLIED = {
     "li": ({"li"}, {"ul", "ol"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
+    "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
-    "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
+    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Around the number of a source line, before the first character of a text that comes from it.
+_MARKS = ("\ufdd0", "\ufdd1")
+_MARK = re.compile("\ufdd0(\\d+)\ufdd1")
 _TAG = re.compile(r"<(?:!doctype|html|body|div|p|br|table|ul|ol|li|h[1-6]|span|a|nav|script)\b[^<>]*>", re.I)
 
 
@@ -34,8 +37,9 @@ class Node:
 
 
 class _Builder(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, marked: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.marked = marked
         self.root = Node("html")
         self.open = [self.root]
 
@@ -75,6 +79,9 @@ class _Builder(HTMLParser):
             self.open[-1].kids.append(Node("p"))
 
     def handle_data(self, data):
+        if self.marked:
+            first = self.getpos()[0]
+            data = "\n".join(re.sub(r"(?=\S)", f"{_MARKS[0]}{first + i}{_MARKS[1]}", x, count=1) for i, x in enumerate(data.split("\n")))
         self.open[-1].kids.append(data)
 
 
@@ -82,10 +89,15 @@ def is_html(text: str) -> bool:
     return bool(_TAG.search(text))
 
 
-def render(html: str) -> str:
+def source_lines(html: str) -> list[list[int]]:
+    """For each line of render(html) the numbers (from 1) of the lines of html that its text comes from."""
+    return [sorted({int(no) for no in _MARK.findall(x)}) for x in render(html, marked=True).split("\n")]
+
+
+def render(html: str, marked: bool = False) -> str:
     """All visible text. Blocks stand on lines of their own, paragraphs, lists and tables with a blank line around
     them; list items have a bullet or their number, nested ones are indented; table cells are aligned in columns."""
-    b = _Builder()
+    b = _Builder(marked)
     b.feed(html)
     b.close()
     lines: list[str] = []
@@ -143,18 +155,36 @@ def _emit(node: Node, lines: list[str], indent: str, pre: bool) -> None:
     flush()
 
 
-def _rows(node: Node):
+def _children(node: Node, rows: list[Node], captions: list[Node], rest: Node) -> None:
+    """The rows and captions of a table, and whatever else stands in it outside of cells."""
     for kid in node.kids:
-        if isinstance(kid, Node) and not kid.hidden:
-            if kid.tag == "tr":
-                yield kid
-            elif kid.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(kid)
+        if isinstance(kid, str):
+            if kid.strip() or rest.kids:
+                rest.kids.append(kid)
+        elif kid.hidden:
+            continue
+        elif kid.tag == "tr":
+            rows.append(kid)
+            rest.kids += [Node("br"), *(x for x in kid.kids if isinstance(x, str) and x.strip()), Node("br")]
+        elif kid.tag in ("thead", "tbody", "tfoot"):
+            _children(kid, rows, captions, rest)
+        elif kid.tag == "caption":
+            captions.append(kid)
+        else:
+            rest.kids.append(kid)
 
 
 def _table(node: Node) -> list[str]:
+    """What stands outside of cells, as browsers do before the table, then captions, then the rows."""
+    rows: list[Node] = []
+    captions: list[Node] = []
+    rest = Node("div")
+    _children(node, rows, captions, rest)
+    above: list[str] = []
+    for n in (rest, *captions):
+        _emit(n, above, "", False)
     grid = []
-    for row in _rows(node):
+    for row in rows:
         cells = []
         for cell in row.kids:
             if isinstance(cell, Node) and not cell.hidden:
@@ -163,4 +193,4 @@ def _table(node: Node) -> list[str]:
                 cells.append(" ".join(x.strip() for x in own if x.strip()))
         grid.append(cells)
     widths = [max((len(r[i]) for r in grid if i < len(r)), default=0) for i in range(max(map(len, grid), default=0))]
-    return ["  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in grid]
+    return [x for x in above if x.strip()] + ["  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in grid]

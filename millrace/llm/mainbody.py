@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import map_batches
-from millrace.llm.layout import is_html, render
+from millrace.llm.layout import is_html, render, source_lines
 from millrace.runtime import spread
 
 _MENU = {
@@ -189,6 +189,9 @@ def fit(labelled: list[tuple[int, str, dict[int, bool]]], rounds: int = 400) ->
     xs, ys = [], []
     for _, text, labels in labelled:
         x, nos = features(visible_lines(text))
+        if is_html(text):
+            own = [[labels[no] for no in of if no in labels] for of in source_lines(text)]
+            labels = {j + 1: any(v) for j, v in enumerate(own) if v}
         for row, no in zip(x, nos):
             if no in labels:
                 xs.append(row)
@@ -206,6 +209,16 @@ def visible_lines(text: str) -> list[str]:
     return (render(text) if is_html(text) else text).split("\n")
 
 
+def text_verdicts(text: str, weights: np.ndarray) -> list[tuple[int, bool]]:
+    """(number from 1, whether main) of each non-blank line of a text as it is. A line of HTML is main if any rendered
+    line with text of it is; one that shows nothing is not."""
+    if not is_html(text):
+        return is_main(text.split("\n"), weights)
+    of = source_lines(text)
+    main = {no for j, m in is_main(render(text).split("\n"), weights) if m for no in of[j - 1]}
+    return [(no, no in main) for no, x in enumerate(text.split("\n"), 1) if x.strip()]
+
+
 def is_main(lines: list[str], weights: np.ndarray) -> list[tuple[int, bool]]:
     """(number from 1, whether main) of each non-blank line; the same sums as features(lines) @ weights."""
     return score_pages([lines], weights)[0]
@@ -260,7 +273,7 @@ def line_verdicts(pages: DataFrame, labels: DataFrame, id_col: str = "page_id",
     def of(b: pa.RecordBatch):
         cols: tuple[list, ...] = ([], [], [])
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for no, main in is_main(visible_lines(t), weights) if t else ():
+            for no, main in text_verdicts(t, weights) if t else ():
                 cols[0].append(i)
                 cols[1].append(no)
                 cols[2].append(main)

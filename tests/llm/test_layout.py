@@ -1,4 +1,5 @@
-from millrace.llm.layout import is_html, render
+from millrace.llm import mainbody
+from millrace.llm.layout import is_html, render, source_lines
 
 
 def test_blocks_lists_and_tables():
@@ -14,3 +15,22 @@ def test_text_is_no_html():
 
 def test_broken_markup():
     assert render("<div><p>a</div></span>b<td>c") == "a\n\nb\nc"
+
+
+def test_captions_and_what_else_stands_in_tables():
+    assert render("<table><caption>Hours <b>today</b></caption><tr><td>a<td>b</table>") == "Hours today\na  b"
+    assert render("<table><caption>Hours<tr><td>a<td>b</table>") == "Hours\na  b"
+    assert render("<table>Call <b>first</b><tbody><tr>now<td>a<td>b</tr><div>Ask</div></tbody></table>").split("\n") == ["Call first", "now", "Ask", "a  b"]
+    assert render("<table><caption hidden>no</caption><colgroup><col></colgroup> <tr> <td>a</td> </tr> </table>") == "a"
+
+
+def test_lines_come_from_lines_of_the_text():
+    html = "<div>\n<p>One\ntwo</p>\n\n<table><tr><td>a\n<td>bcd</table><p>x<br>y\n</div>\nend"
+    assert render(html).split("\n") == ["One two", "", "a  bcd", "", "x", "y", "", "end"]
+    assert source_lines(html) == [[2, 3], [], [5, 6], [], [6], [6], [], [8]]
+
+
+def test_verdicts_of_html_are_numbered_by_the_lines_of_the_text():
+    html = "<html>\n<body>\n<ul><li>Home</ul>\n\n<h1>Visits</h1>\n<p>A nurse visits you\nat home after birth.</p>\n<p>Copyright Wrenfield</p>\n</body>"
+    got = mainbody.text_verdicts(html, mainbody.fit([]))
+    assert [no for no, _ in got] == [1, 2, 3, 5, 6, 7, 8, 9] and {no for no, m in got if m} >= {6, 7} and not {1, 2, 8, 9} & {no for no, m in got if m}
