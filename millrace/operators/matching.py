@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 
-#: A dictionary of up to so many terms becomes literals of the plan; larger ones are joined.
+#: A dictionary of up to so many terms becomes literals of the plan; larger ones are joined by first_named, an error elsewhere.
 MOST_TERMS = 2_000
 
 
@@ -15,7 +15,7 @@ def dictionary(df: DataFrame, *columns: str, most: int = MOST_TERMS) -> list[tup
     """The rows of a small dimension in order, for use as literals; an error beyond the bound."""
     rows = [tuple(r) for r in df.select(*columns).limit(most + 1).collect()]
     if len(rows) > most:
-        raise ValueError(f"the dictionary has more than {most} terms; use the joining operators")
+        raise ValueError(f"the dictionary has more than {most} terms, which only first_named can join")
     return rows
 
 
