@@ -24,6 +24,19 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.piece_texts(_table(spark, folder, "raw_pages")).withColumnRenamed("id", "page_id")
 
 
+def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each text of more than 800 characters: the hash of the text put together again from its pieces, and whether
+    all pieces keep the limit, share 100 characters and end behind a boundary character unless they say otherwise."""
+    pieces = split.piece_texts(_table(spark, folder, "raw_pages")).where("end_pos > 800 or piece_no > 1 or boundary <> 'end'")
+    new = F.when(F.col("piece_no") == 1, F.col("piece")).otherwise(F.substring("piece", 101, 800))
+    at_end = F.col("boundary").isin("end", "forced", "overlap") | F.substring("piece", -1, 1).isin(*split._CLASS)
+    good = (F.length("piece") <= 800) & (F.length("piece") == F.col("end_pos") - F.col("start_pos") + 1)
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", "start_pos", "end_pos", new.alias("new"))))
+    grouped = pieces.groupBy(F.col("id").alias("page_id")).agg(parts.alias("p"), F.min(good).alias("within"), F.min(at_end).alias("at_boundaries"))
+    shared = F.forall(F.sequence(F.lit(2), F.size("p")), lambda k: F.get("p", k - 1)["start_pos"] == F.get("p", k - 2)["end_pos"] - 99)
+    return grouped.where("size(p) > 1").select("page_id", F.md5(F.array_join(F.transform("p", lambda x: x["new"]), "").cast("binary")).alias("md5"), "within", shared.alias("overlapping"), "at_boundaries")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = neardup.document_pairs(*neardup.near_duplicates(_table(spark, folder, "raw_pages")))
     return pairs.select(F.col("a").alias("page_id_a"), F.col("b").alias("page_id_b"))

@@ -55,6 +55,7 @@ def _p2(size: int, share: float) -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": r"""SELECT page_id, CASE WHEN regexp_matches(text, '[^ \t\n\x{A0}\x{3000}\x{3002}]{801,}') THEN 'forced' ELSE 'natural' END AS cut FROM raw_pages WHERE length(text) > 800""",
+        "p1_restored": "SELECT page_id, md5(text) AS md5, true AS within, true AS overlapping, true AS at_boundaries FROM raw_pages WHERE length(text) > 800",
         "p2_found": _p2(3, 0.7) + " SELECT a AS page_id_a, b AS page_id_b FROM pairs",
         "p3_found": _P3 + " SELECT page_id, line_no FROM normal JOIN hot USING (source, line)",
         "p3_clean": _P3 + """, gone AS (SELECT page_id, list(line_no) AS gone FROM normal JOIN hot USING (source, line) GROUP BY page_id)
