@@ -44,8 +44,9 @@ _KINDS = {
 }
 _STARTS = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in _KINDS.items()))
 _HOLDS = [(w, k) for k, (_, ws) in _KINDS.items() for w in ws]
-#: Furniture is shorter than this.
+#: Lines longer than this are judged by their sentences.
 _LONG = 140
+_SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _LIST = re.compile(r"^\s*(?:[-*•o·▪◦‣–✅✔☑👶🍼➤►]|\d{1,2}[.)])\s+\S")
 _ENDS = tuple(e + q for e in ".!?。！？" for q in ("", "'", '"', "”", "’", ")"))
 _SEPARATORS = re.compile(r"\s*(?:\||·|›|»|::|>|/|•)\s*")
@@ -77,23 +78,8 @@ def _kind(line: str) -> str:
     t = clean(line)
     if not t:
         return "blank"
-    if len(t) <= _LONG:
-        if t in _MENU:
-            return "menu"
-        if t in _HEADS:
-            return "head"
-        if m := _STARTS.match(t):
-            return m.lastgroup
-        for w, k in _HOLDS:
-            if w in t:
-                return k
-        if t.startswith(("you are here", "usted está", "vous êtes ici")):
-            return "crumb"
-        if not t.endswith(_ENDS) and any(c in t for c in "|·›»>/•:"):
-            parts = [x for x in _SEPARATORS.split(t) if x]
-            if len(parts) > 2 and max(map(len, parts)) <= 40:
-                known = sum(x in _MENU for x in parts)
-                return "bar" if known >= 2 and known * 2 >= len(parts) else "crumb"
+    if k := _furniture(t) if len(t) <= _LONG else _long_furniture(t):
+        return k
     if _LIST.match(line):
         return "list"
     if len(t) < 160 and _CONTACT.search(t):
@@ -103,6 +89,37 @@ def _kind(line: str) -> str:
     return "title" if len(t) <= 90 else "text"
 
 
+def _furniture(t: str) -> str | None:
+    """The kind of furniture a cleaned line is, if any. A long row of parts needs letters in most: figures make no path."""
+    if t in _MENU:
+        return "menu"
+    if t in _HEADS:
+        return "head"
+    if m := _STARTS.match(t):
+        return m.lastgroup
+    for w, k in _HOLDS:
+        if w in t:
+            return k
+    if t.startswith(("you are here", "usted está", "vous êtes ici")):
+        return "crumb"
+    if not t.endswith(_ENDS) and any(c in t for c in "|·›»>/•:"):
+        parts = [x for x in _SEPARATORS.split(t) if x]
+        if len(parts) > 2 and max(map(len, parts)) <= 40 and (len(t) <= _LONG or 2 * sum(any(map(str.isalpha, x)) for x in parts) > len(parts)):
+            known = sum(x in _MENU for x in parts)
+            return "bar" if known >= 2 and known * 2 >= len(parts) else "crumb"
+    return None
+
+
+def _long_furniture(t: str) -> str | None:
+    """The kind of furniture a long line is: that of its first sentence, if at least half of its text is furniture; a
+    mention of cookies within a paragraph makes no notice of it. A sentence that is long itself is judged by its start
+    and its words."""
+    found = [(x, _furniture(x)) for x in _SENTENCES.split(t) if x]
+    if not found or not found[0][1] or found[0][1] in ("menu", "head"):
+        return None
+    return found[0][1] if 2 * sum(len(x) for x, k in found if k) >= len(t) else None
+
+
 def _kinds(lines: list[str]) -> tuple[list[int], list[int]]:
     """Of each non-blank line its place and the number of its kind."""
     kinds = [kind_of(x) for x in lines]
@@ -261,6 +278,11 @@ def load_labels(pages: DataFrame, labels: DataFrame, most: int = LABELLED_LINES)
     return [(p, texts[p], d) for p, d in sorted(by.items()) if p in texts]
 
 
+def fitted(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", text_col: str = "text") -> np.ndarray:
+    """The weights fitted on the labels of pages."""
+    return fit(load_labels(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(text_col).alias("text")), labels))
+
+
 def line_verdicts(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", text_col: str = "text") -> DataFrame:
     """id, line_no, is_main of each non-blank line of each page; texts that are null or blank give no rows.
 
@@ -268,7 +290,7 @@ def line_verdicts(pages: DataFrame, labels: DataFrame, id_col: str = "page_id",
     without any, the kinds alone decide. No shuffle: the weights, a few dozen numbers, go to every task. Repeated rows
     give repeated results."""
     named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(text_col).alias("text"))
-    weights = fit(load_labels(named, labels))
+    weights = fitted(named, labels, "page_id", "text")
 
     def of(b: pa.RecordBatch):
         cols: tuple[list, ...] = ([], [], [])
@@ -285,7 +307,7 @@ def line_verdicts(pages: DataFrame, labels: DataFrame, id_col: str = "page_id",
 def main_bodies(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", text_col: str = "text") -> DataFrame:
     """id, body: the lines of the main body, in order; null for a null text, empty if nothing is left."""
     named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(text_col).alias("text"))
-    weights = fit(load_labels(named, labels))
+    weights = fitted(named, labels, "page_id", "text")
 
     def of(b: pa.RecordBatch):
         out = []

@@ -71,9 +71,10 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "raw_pages")
-    lines = mainbody.line_verdicts(pages, _table(spark, folder, "line_labels")).where("not is_main").select("id", "line_no").distinct()
-    cases = residue.residue_pages(pages).select("id")
-    return lines.join(cases, "id", "left_anti").select(F.col("id").alias("page_id"), "line_no")
+    read = residue.read_pages(pages, weights=mainbody.fitted(pages, _table(spark, folder, "line_labels")))
+    lines = read.select("id", F.explode("furniture").alias("line_no"))
+    cases = residue.residue_cases(read).select("id")
+    return lines.join(cases, "id", "left_anti").select(F.col("id").alias("page_id"), F.col("line_no").cast("long").alias("line_no"))
 
 
 def p4_bodies(spark: SparkSession, folder: str) -> DataFrame:

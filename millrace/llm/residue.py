@@ -1,19 +1,21 @@
 """Problem 6: unfilled slots, filler text, and error messages or demands for scripts in place of content.
 
 Two ways, as a page is met: unresolved slots and filler are looked for in every text; for the rest, message templates
-are mined with a prefix tree of fixed depth (number of tokens, then the first tokens), each template gets a verdict
-once, and the verdicts go back to the pages that hold it."""
+are mined from the lines of all pages with a prefix tree of fixed depth (number of tokens, then the first tokens), each
+template gets a verdict once, and the verdicts go back to the pages that hold its messages."""
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches
-from millrace.llm.mainbody import _BODY, clean, kind_of, visible_lines
+from millrace.llm.common import WORD
+from millrace.llm.mainbody import _BODY, clean, kind_of, text_verdicts, visible_lines
 from millrace.runtime import ship, spread, stage, unique_by
 
 _NAME = r"[A-Za-z][\w.:/ -]{0,40}?"
@@ -25,20 +27,29 @@ SLOT = re.compile(
 _LATIN = set("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat".split())
 FILLER = re.compile(r"\[placeholder\b|^(?:sample|placeholder|dummy) (?:copy|text|paragraph)\b|\byour text (?:goes )?here\b|replace this sample|^(?:x{3,}\W+){2,}|^texto de relleno|^texte de remplissage|test page please ignore|\bblah blah\b|\basdf|\btexto de prueba\b", re.I)
 
-#: What a message of this kind says; looked for in templates, not in pages.
+#: What a message of this kind says; looked for in templates only.
 MESSAGE = re.compile(
     r"^loading\b ?(?:\.\.\.|…)?$|^please wait\b|^cargando|(?:enable|turn on|activate|allow|active|activez|habilite) (?:javascript|scripts?|cookies)|requires? (?:javascript|scripts)|(?:javascript|scripts?) (?:is|are) (?:disabled|off|required|needed)|has them switched off|needs? javascript"
     r"|^traceback \(|^fatal (?:error|exception)|exception\b.*\b(?:java|null|at)\b|^(?:uncaught )?[a-z.]*(?:error|exception): |^at [\w.$]+\(|^file (?:\"|<\*>)|^warning: |failed to open|on line (?:\d+|<\*>)$|^(?:parse|syntax|runtime) error|\bstack trace\b|^mysql|^sqlstate|^ora-"
-    r"|^(?:oops|sorry|we're sorry|we are sorry)\b|something went wrong|^(?:service|page|site|content|file|this page|the page|the site) (?:is )?(?:temporarily )?(?:unavailable|not found|not available|missing|expired)|down for maintenance|gone away|error establishing|internal (?:server )?(?:error|problem)|^error\b|^\(?(?:<\*>|\d{3}) ?[-:]? ?(?:forbidden|not found|error|unauthori[sz]ed|internal|bad|service)"
+    r"|^(?:oops|sorry|we're sorry|we are sorry)\b|something went wrong|^(?:service|page|site|content|file|this page|the page|the site) (?:is )?(?:temporarily )?(?:unavailable|not found|not available|missing|expired)|down for maintenance|gone away|error establishing|internal (?:server )?(?:error|problem)|^error\b|^\(?(?:<\*>|\d{3})\)? ?[-:]? ?(?:forbidden|not found|error|unauthori[sz]ed|internal|bad|service)"
     r"|(?:gateway|connection|request) (?:timeout|timed out|refused|reset)|contacting upstream|not found (?:in|on) (?:the|this) (?:theme|server)|no encontrad|no existe|introuvable|n'existe pas|^se produjo un error|^une erreur s'est produite|^template <?.*not found|browser (?:is )?(?:not|un)supported|browser is not supported|找不到|不存在|无法访问|启用"
     r"|is gone\b|does not exist on this|moved or removed|may have (?:been )?moved|link is broken|^nothing lives at|too many requests|slow down and retry|session has expired|log in again|content is restricted|sign in with .* to (?:read|view|continue)|^(?:access|permission) (?:is )?(?:denied|forbidden)|access to this (?:site|page) (?:was|is|has been) (?:blocked|denied)|blocked by the firewall|do not have permission|not authori[sz]ed to|you are not a robot|verify (?:that )?you are (?:a )?human|checking your browser|return to the start page|acceso (?:denegado|prohibido)|accès (?:refusé|interdit)"
 )
+#: What says so only beside a slot that mining or masking has found: one thing of a kind is missing or can't be shown.
+SLOTTED = re.compile(
+    r"<\*>.*\b(?:could not|couldn't|can not|cannot|can't) be (?:loaded|found|opened|displayed|reached|shown|rendered|processed)\b|<\*> (?:was |were |is )?not (?:found|installed|registered|loaded)\b|\b(?:failed|unable) to (?:load|find|open|render|reach|connect|parse)\b.*<\*>"
+    r"|<\*>.*\b(?:failed to (?:load|render|connect)|no longer exists?|does not exist|has been (?:removed|suspended))\b|^(?:undefined|unknown|missing|invalid) (?:variable|index|function|property|template|module|widget|parameter)\b.*<\*>"
+)
 #: Furniture that can't be mistaken for a message.
-_PLAIN = {"menu", "bar", "crumb", "head", "link", "legal", "meta"}
+_PLAIN = {"menu", "bar", "crumb", "head", "link", "legal", "meta", "blank"}
 #: Masked lines of so many characters or more are judged sentence by sentence.
 MESSAGE_CHARS = 200
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_CALL = re.compile(r"[a-z$_][\w.$]*(?=\()")
+#: Words of the patterns above; where two messages differ in one of them no slot is made of it.
+_TELLING = set(WORD.findall(re.sub(r"\\[a-zA-Z]", " ", MESSAGE.pattern + " " + SLOTTED.pattern)))
+_UNSPACED = [w for w in _TELLING if not w.isascii() and any(ord(c) > 0x2FFF for c in w)]
 
 
 def mask(line: str) -> str:
@@ -46,7 +57,13 @@ def mask(line: str) -> str:
     t = _QUOTED.sub("<*>", clean(line)) if "'" in line or '"' in line else clean(line)
     if "/" not in t and not any(map(str.isdigit, t)):
         return t
-    return " ".join(["<*>" if x.count("/") > 1 or any(map(str.isdigit, x)) else x for x in t.split(" ")])
+    return " ".join([_slot(x) if x.count("/") > 1 or any(map(str.isdigit, x)) else x for x in t.split(" ")])
+
+
+def _slot(token: str) -> str:
+    """<*>; of a call, as in frames of a stack trace, the name stays."""
+    call = _CALL.match(token)
+    return f"{call[0]}(<*>)" if call else "<*>"
 
 
 def parts(line: str) -> list[str]:
@@ -61,40 +78,6 @@ def parts(line: str) -> list[str]:
 _FILLER_HINTS = ("placeholder", "sample ", "your text", "relleno", "remplissage", "test page", "blah", "asdf", "dummy", "de prueba", "xxx")
 _LATIN_HINTS = ("ipsum", "lorem", "consectetur", "adipiscing", "eiusmod", "incididunt", "nostrud", "aliqua", "veniam", "minim ", "elit ")
 _SLOT_HINTS = ("{", "@@", "[[", "[i", "[y", "[e", "[a", "[t", "[o", "<", "undefined", "xx/", "__")
-_TURN_ON = ("enable", "turn on", "activate", "allow", "active", "activez", "habilite")
-#: A text without any of these words or those of _HINTS_BY_WORD (white space collapsed) and without _MARKS holds no message: each alternative of
-#: MESSAGE needs one of them.
-_HINTS = (
-    "loading", "please wait", "cargando", "switched off", "traceback", "fatal", "exception", "error", "warning: ", "failed to", "on line", "stack trace", "mysql", "sqlstate", "ora-",
-    "oops", "sorry", "went wrong", "unavailable", "not found", "not available", "expired", "maintenance", "is gone", "gone away", "establishing", "forbidden", "unauthor", "timeout", "timed out", "upstream",
-    "no encontrad", "no existe", "introuvable", "n'existe pas", "找不到", "不存在", "无法访问", "启用", "exist on", "or removed", "been moved", "have moved", "broken", "nothing lives", "too many", "slow down",
-    "restricted", "log in again", "sign in with", "denied", "blocked", "have permission", "not author", "a robot", "a human", "you are human", "browser", "start page", "denegado", "prohibido", "refusé", "interdit", "une erreur",
-    "internal problem", "internal server problem",
-)
-#: More of them, by a word that they have in common and that is looked for first.
-_HINTS_BY_WORD = {
-    " missing": [f"{w} missing" for w in ("service", "page", "site", "content", "file", "is", "temporarily")],
-    "refused": [f"{w} refused" for w in ("gateway", "connection", "request")],
-    " reset": [f"{w} reset" for w in ("gateway", "connection", "request")],
-    "script": ["javascript", "scripts", "script is ", "script are ", *(f"{w} script" for w in _TURN_ON)],
-    " cookies": [f"{w} cookies" for w in _TURN_ON],
-}
-#: The alternatives whose words are too common to be hints: a frame of a stack trace, and what mask() makes "file <*>" or
-#: "<*> bad", "<*> internal", "<*> service" (lines in lower case).
-_MARKS = re.compile(
-    r"^[^\S\n]*(?:at[^\S\n]+[\w.$]+\(|file[^\S\n]+(?:[\"']|\S*[\d/\x80-\U0010ffff])|\(?(?:\S*[\d/\x80-\U0010ffff]\S*|[^\n]*[\"'])[^\S\n]*[-:]?[^\S\n]*(?:internal|bad|service))",
-    re.M,
-)
-
-
-def may_hold_message(lines: list[str]) -> bool:
-    """Whether any line can match MESSAGE, as it is or masked; cheap, true for more lines than do."""
-    low = "\n".join(lines).lower()
-    flat = " ".join(low.split())
-    for w in _HINTS:
-        if w in flat:
-            return True
-    return any(w in flat and any(x in flat for x in own) for w, own in _HINTS_BY_WORD.items()) or bool(_MARKS.search(low))
 
 
 def has_residue(lines: list[str], text: str, low: str) -> bool:
@@ -112,82 +95,185 @@ def has_residue(lines: list[str], text: str, low: str) -> bool:
 
 
 class PrefixTree:
-    """Templates of messages: a tree of fixed depth leads by the number of tokens and the first ones to a leaf, whose
-    clusters take a message if enough of its tokens agree; those that differ become <*>."""
+    """Templates of messages: a tree of fixed depth leads by the number of tokens, the first ones, and the places of
+    telling words to a leaf, whose clusters take a message if enough of its tokens agree; those that differ become <*>.
+    Telling words never do, so the verdict of a template misses nothing that one of its messages says."""
 
-    def __init__(self, depth: int = 3, alike: float = 0.6) -> None:
+    def __init__(self, depth: int = 3, alike: float = 0.4) -> None:
         self.depth, self.alike = depth, alike
-        self.leaves: dict[tuple, list[list[str]]] = {}
+        self.leaves: dict[tuple, list[list]] = {}
+        self._known: dict[str, bool] = {}
+
+    def telling(self, token: str) -> bool:
+        found = self._known.get(token)
+        if found is None:
+            if len(self._known) > 200_000:
+                self._known.clear()
+            found = self._known[token] = any(w in _TELLING for w in WORD.findall(token)) or any(w in token for w in _UNSPACED)
+        return found
 
     def key(self, tokens: list[str]) -> tuple:
-        return (len(tokens), *tokens[: self.depth - 1])
+        return (len(tokens), *tokens[: self.depth - 1], *[(i, t) for i, t in enumerate(tokens) if self.telling(t)])
 
-    def add(self, message: str) -> list[str]:
+    def add(self, message: str, key: tuple | None = None) -> list:
+        """The cluster [template's tokens, number of messages] that the message belongs to now."""
         tokens = message.split(" ")
-        leaf = self.leaves.setdefault(self.key(tokens), [])
-        best, same = None, 0.0
-        for t in leaf:
-            s = sum(a == b for a, b in zip(t, tokens)) / len(tokens)
-            if s > same:
-                best, same = t, s
-        if best is None or same < self.alike:
-            leaf.append(tokens)
-            return tokens
-        for i, w in enumerate(tokens):
-            if best[i] != w:
-                best[i] = "<*>"
+        leaf = self.leaves.setdefault(self.key(tokens) if key is None else key, [])
+        best, same = None, self.alike * len(tokens) - 1e-9
+        for c in leaf:
+            n = sum(map(str.__eq__, c[0], tokens))
+            if n > same:
+                best, same = c, n
+        if best is None:
+            best = [tokens, 0]
+            leaf.append(best)
+        elif same < len(tokens):
+            best[0] = [a if a == b else "<*>" for a, b in zip(best[0], tokens)]
+        best[1] += 1
         return best
 
 
-def _read(b: pa.RecordBatch):
-    """The pages with residue, and the lines of those pages that may hold a message: masked, by sentences if they are
-    long, with the number of the line, whether it is the line's first sentence, and whether the line is such as bodies
-    consist of (a sentence, a list item, a contact)."""
-    cols: tuple[list, ...] = ([], [], [])
-    for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-        if not t:
-            continue
-        lines, low = visible_lines(t), t.lower()
-        bad = has_residue(lines, t, low)
-        messages: list[dict] = []
-        if not bad and may_hold_message(lines):
-            for no, x in enumerate(lines):
-                k = kind_of(x)
-                if k in _BODY or (k not in _PLAIN and MESSAGE.search(clean(x))):
-                    messages += [{"message": m, "real": k != "title", "line": no, "first": j == 0} for j, m in enumerate(parts(x))]
-        if bad or messages:
-            cols[0].append(i)
-            cols[1].append(bad)
-            cols[2].append(messages)
-    message = pa.struct([("message", pa.string()), ("real", pa.bool_()), ("line", pa.int32()), ("first", pa.bool_())])
-    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.list_(message))], ["id", "residue", "messages"])
-
-
-_READ = "id long, residue boolean, messages array<struct<message:string,real:boolean,line:int,first:boolean>>"
-
-
-def _verdicts(batches):
-    """The messages of a task's leaves: their templates, and for each template, once, whether it is an error message,
-    a refusal or a demand for scripts. The verdict of a template holds for all its messages; each message is also judged
-    by itself, as a template may have lost the words that tell."""
-    tree, messages, found = PrefixTree(), [], []
-    for b in batches:
-        for m in b.column(0).to_pylist():
-            messages.append(m)
-            found.append(tree.add(m))
-    named = [" ".join(t) for t in found]
-    says = {t: bool(MESSAGE.search(t)) for t in set(named)}
-    bad = [says[t] or bool(MESSAGE.search(m)) for t, m in zip(named, messages)]
-    yield pa.RecordBatch.from_arrays([pa.array(messages, pa.string()), pa.array(named, pa.string()), pa.array(bad, pa.bool_())], ["message", "template", "bad"])
+def is_message(template: str) -> bool:
+    """The verdict on a template."""
+    return bool(MESSAGE.search(template) or SLOTTED.search(template))
+
+
+def _name(message: str) -> int:
+    return xxhash.xxh3_64_intdigest(message) >> 1
+
+
+_LINES: dict[str, tuple] = {}
+
+
+def _judged(line: str) -> tuple:
+    """Of a line: whether it is such as bodies consist of, whether it is a real one of these (no title), and names and
+    texts of its masked parts; nothing for plain furniture."""
+    out = _LINES.get(line)
+    if out is None:
+        k = kind_of(line)
+        own = () if k in _PLAIN else tuple((_name(m), m) for m in parts(line))
+        out = (2 * (k in _BODY and k != "title") + (k in _BODY), own)
+        if len(line) <= 100:
+            if len(_LINES) > 200_000:
+                _LINES.clear()
+            _LINES[line] = out
+    return out
+
+
+def _reader(weights: np.ndarray | None):
+    """Of each page: whether it holds residue; the names of its masked lines (long ones by sentences), each with a code
+    (8 x line + 4: first part + 2: real + 1: of the body); the masked lines that the task has not met before; and, with
+    weights of problem 4, the numbers of the lines that are not main."""
+
+    def run(batches):
+        met: set[int] = set()
+        for b in batches:
+            cols: tuple[list, ...] = ([], [], [], [], [], [])
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not t:
+                    continue
+                lines, low = visible_lines(t), t.lower()
+                bad = has_residue(lines, t, low)
+                names, codes, new = [], [], []
+                for no, x in enumerate(lines) if not bad else ():
+                    code, own = _judged(x)
+                    for j, (name, m) in enumerate(own):
+                        names.append(name)
+                        codes.append(8 * no + 4 * (j == 0) + code)
+                        if name not in met:
+                            met.add(name)
+                            new.append(m)
+                if len(met) > 2_000_000:
+                    met.clear()
+                furniture = None if weights is None or bad else [no for no, main in text_verdicts(t, weights) if not main]
+                for col, v in zip(cols, (i, bad, names, codes, new, furniture)):
+                    col.append(v)
+            kinds = (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "residue", "names", "codes", "new", "furniture"])
+
+    return run
+
+
+_READ = "id long, residue boolean, names array<long>, codes array<int>, new array<string>, furniture array<int>"
+
+
+def read_pages(df: DataFrame, id_col: str = "page_id", text_col: str = "text", weights: np.ndarray | None = None) -> DataFrame:
+    """The staged table of _reader: each text is read once. Rows repeated with one id count once."""
+    own = spread(unique_by(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null"), "id"), "id")
+    ship(own.sparkSession)
+    return stage(own.mapInArrow(_reader(weights), _READ), "lines")
+
+
+_KEYS = PrefixTree()
 
 
-def templates(lines: DataFrame) -> DataFrame:
-    """message, template, bad of each distinct masked line in lines (column message). All messages of a leaf (number
-    of tokens and the first two) come to one task, in alphabetical order."""
-    ship(lines.sparkSession)
-    words = F.split("message", " ")
-    leaf = lines.select("message").distinct().repartition(F.size(words), F.get(words, F.lit(0)), F.get(words, F.lit(1))).sortWithinPartitions("message")
-    return leaf.mapInArrow(_verdicts, "message string, template string, bad boolean")
+def _leaf_of(b: pa.RecordBatch) -> pa.RecordBatch:
+    messages = b.column(0).to_pylist()
+    leaf = [_name(repr(_KEYS.key(m.split(" ")))) for m in messages]
+    return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), b.column(0)], ["leaf", "message"])
+
+
+def _mine(batches):
+    """The leaves of a task one after the other (rows come sorted): the cluster of each message as it is met; and at
+    the end of a leaf a row for each cluster, with its template and verdict. Only one leaf's clusters are kept."""
+    tree, now, ids = PrefixTree(), None, {}
+
+    def flush(out):
+        for c in tree.leaves.get(now, ()):
+            t = " ".join(c[0])
+            out.append((None, ids[id(c)], t, is_message(t), c[1]))
+        tree.leaves.clear()
+        ids.clear()
+
+    def rows(out):
+        cols = list(zip(*out)) or [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["name", "cluster", "template", "bad", "n"])
+
+    for b in batches:
+        out: list[tuple] = []
+        for leaf, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if leaf != now:
+                flush(out)
+                now = leaf
+            c = tree.add(m, leaf)
+            if c[1] == 1:
+                ids[id(c)] = _name(f"{leaf} {m}")
+            out.append((_name(m), ids[id(c)], None, None, None))
+        yield rows(out)
+    out = []
+    flush(out)
+    yield rows(out)
+
+
+def mine_templates(messages: DataFrame) -> DataFrame:
+    """name, cluster, template, bad, n of the masked lines in messages (column message, each once): a row for each
+    message with its cluster, and a row without name for each cluster with its template, verdict and number of
+    messages. Leaves are spread by all of their key, telling words included; a leaf streams through its task in
+    alphabetical order."""
+    ship(messages.sparkSession)
+    keyed = messages.mapInArrow(lambda batches: map(_leaf_of, batches), "leaf long, message string")
+    return stage(keyed.repartition("leaf").sortWithinPartitions("leaf", "message").mapInArrow(_mine, "name long, cluster long, template string, bad boolean, n long"), "templates")
+
+
+def _bad_names(mined: DataFrame) -> DataFrame:
+    """The names of the messages whose template is one of problem 6."""
+    return mined.where("name is not null").select("name", "cluster").join(mined.where("bad").select("cluster"), "cluster", "left_semi").select("name")
+
+
+def residue_cases(read: DataFrame) -> DataFrame:
+    """id, reason of the cases among the pages of read_pages."""
+    mined = mine_templates(read.select(F.explode("new").alias("message")).distinct())
+    each = F.explode(F.arrays_zip("names", "codes")).alias("x")
+    touched = read.select("id", each).select("id", F.col("x.names").alias("name")).join(_bad_names(mined), "name").groupBy("id").agg(F.collect_set("name").alias("bad"))
+    lines = read.join(touched, "id").select("id", "bad", each).select("id", F.shiftright("x.codes", 3).alias("line"), F.col("x.codes").alias("code"), F.array_contains("bad", F.col("x.names")).alias("bad"))
+    bit = lambda k: F.col("code").bitwiseAND(k) > 0
+    n, n_bad = F.count("*"), F.count_if("bad")
+    says = (n_bad * 2 >= n) | ((n_bad * 3 >= n) & (F.count_if(bit(4) & F.col("bad")) > 0))
+    by_line = lines.groupBy("id", "line").agg(says.alias("bad"), F.max(bit(2)).alias("real"), F.max(bit(1)).alias("body"))
+    pages = by_line.groupBy("id").agg(F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad") & F.col("real")).alias("n_real"), F.count_if(~F.col("bad") & F.col("body")).alias("n_rest"))
+    messages = pages.where("n_bad > 0 and n_real = 0 and n_rest <= n_bad").select("id", F.lit("message").alias("reason"))
+    return read.where("residue").select("id", F.lit("residue").alias("reason")).unionByName(messages)
 
 
 def residue_pages(df: DataFrame, id_col: str = "page_id", text_col: str = "text") -> DataFrame:
@@ -195,23 +281,17 @@ def residue_pages(df: DataFrame, id_col: str = "page_id", text_col: str = "text"
 
     A page whose body is only messages, or these and no more short lines than there are messages, is a case; one with
     a real body (a sentence, list or contact line besides) is not. A long line is a message if half of its sentences
-    are, or a third with the first among them: a mention within a paragraph makes no message of it. Null and empty texts are no cases. Rows repeated
-    with one id count once. Shuffled are only the masked lines of the few pages that hold a word of messages."""
-    own = spread(unique_by(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null"), "id"), "id")
-    read = stage(map_batches(own, _read, _READ), "messages")
-    lines = read.select("id", F.explode("messages").alias("m")).select("id", "m.*")
-    judged = lines.join(templates(lines).where("bad").select("message", "bad"), "message", "left")
-    n, n_bad = F.count("*"), F.count("bad")
-    says = (n_bad * 2 >= n) | ((n_bad * 3 >= n) & (F.count_if(F.col("first") & F.col("bad")) > 0))
-    by_line = judged.repartition("id").groupBy("id", "line").agg(says.alias("bad"), F.max("real").alias("real"))
-    pages = by_line.groupBy("id").agg(F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad") & F.col("real")).alias("n_real"), F.count_if(~F.col("bad")).alias("n_rest"))
-    messages = pages.where("n_bad > 0 and n_real = 0 and n_rest <= n_bad").select("id", F.lit("message").alias("reason"))
-    return read.where("residue").select("id", F.lit("residue").alias("reason")).unionByName(messages)
+    are, or a third with the first among them: a mention within a paragraph makes no message of it. Null and empty
+    texts are no cases. Rows repeated with one id count once. Shuffled are the distinct masked lines of all pages, and
+    names of lines (8 bytes) of the pages with messages."""
+    return residue_cases(read_pages(df, id_col, text_col))
 
 
 def residue_templates(df: DataFrame, id_col: str = "page_id", text_col: str = "text") -> DataFrame:
-    """template, bad, pages: the templates of the lines of pages that hold a word of messages, and their verdicts."""
-    own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    read = map_batches(spread(own, "id"), _read, _READ)
-    lines = stage(read.select("id", F.explode("messages").alias("m")).select("id", "m.message"), "lines")
-    return lines.join(templates(lines), "message").groupBy("template").agg(F.max("bad").alias("bad"), F.countDistinct("id").alias("pages"))
+    """template, bad, messages, pages: the templates of the lines of all pages, their verdicts, the number of their
+    distinct messages and of the pages that hold one."""
+    read = read_pages(df, id_col, text_col)
+    mined = mine_templates(read.select(F.explode("new").alias("message")).distinct())
+    of = mined.where("name is not null").select("name", "cluster")
+    pages = read.select("id", F.explode("names").alias("name")).join(of, "name").groupBy("cluster").agg(F.countDistinct("id").alias("pages"))
+    return mined.where("name is null").select("cluster", "template", "bad", F.col("n").alias("messages")).join(pages, "cluster").drop("cluster")

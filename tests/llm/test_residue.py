@@ -1,12 +1,9 @@
-"""The cheap test before the patterns of messages lets through whatever they match."""
-
-from itertools import product
-from re import _parser
+"""Templates of messages: what is mined, what the verdicts on templates say, and which pages they reach."""
 
 import pyarrow as pa
 import pytest
 
-from millrace.llm import residue
+from millrace.llm import mainbody, residue
 
 SAMPLES = [
     "502 Bad Gateway", "400 Bad Request", "(503) Service", '"x y" - internal', "Connection refused", "Connection  reset", "Please enable cookies to continue", "Une erreur s'est produite", "This page is missing", "Internal problem",
@@ -14,43 +11,9 @@ SAMPLES = [
 ]
 
 
-def forms(parsed) -> list[str]:
-    """The texts a pattern stands for: each choice taken, with \\0 where it allows more than one character."""
-    out = [""]
-    for op, arg in parsed:
-        name = str(op)
-        if name == "LITERAL":
-            own = [chr(arg)]
-        elif name == "AT":
-            own = [""]
-        elif name == "SUBPATTERN":
-            own = forms(arg[3])
-        elif name == "BRANCH":
-            own = [f for b in arg[1] for f in forms(b)]
-        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
-            own = [chr(c) for _, c in arg]
-        elif name == "MAX_REPEAT" and arg[:2] == (0, 1):
-            own = ["", *forms(arg[2])]
-        else:
-            own = ["\0"]
-        out = [a + b for a, b in product(out, own)]
-    return out
-
-
-def test_every_alternative_needs_a_hint():
-    """A form without a hint in its fixed parts must be one that _MARKS lets through."""
-    every = forms(_parser.parse(residue.MESSAGE.pattern))
-    assert len(every) > 300
-    hints = [*residue._HINTS, *(x for own in residue._HINTS_BY_WORD.values() for x in own)]
-    assert all(w in x for w, own in residue._HINTS_BY_WORD.items() for x in own)
-    bare = [f for f in every if not any(h in part for part in f.replace("<*>", "\0").split("\0") for h in hints)]
-    assert [f for f in bare if not residue.may_hold_message([f.replace("<*>", "x1").replace("\0", "500" if f.lstrip("(")[0] == "\0" else "x")])] == []
-
-
 @pytest.mark.parametrize("line", SAMPLES)
-def test_messages_pass_the_hints(line):
-    assert residue.MESSAGE.search(residue.mask(line)) or residue.MESSAGE.search(residue.clean(line))
-    assert residue.may_hold_message(["Home", line])
+def test_samples_are_messages(line):
+    assert residue.is_message(residue.mask(line))
 
 
 def test_pages_of_one_message(spark):
@@ -72,7 +35,49 @@ def test_long_notices(spark):
     assert found == {1, 2, 4}
 
 
-def test_a_template_without_the_telling_words_loses_no_message():
+def mined(messages):
+    """message -> (template, verdict), as one task with all leaves finds it."""
+    tree = residue.PrefixTree()
+    of = {m: tree.add(m) for m in sorted(messages)}
+    return {m: (" ".join(c[0]), residue.is_message(" ".join(c[0]))) for m, c in of.items()}
+
+
+def test_telling_words_never_become_slots():
     both = ["the page is meant for all", "the page is gone for good", "the page is gone for today"]
-    out = next(residue._verdicts([pa.record_batch([pa.array(sorted(both))], ["message"])])).to_pydict()
-    assert dict(zip(out["message"], out["bad"])) == {both[0]: False, both[1]: True, both[2]: True}
+    assert [mined(both)[m][1] for m in both] == [False, True, True]
+
+
+WIDGETS = [f"the widget {w} could not be loaded" for w in ("carousel", "calendar", "gallery", "map")]
+
+
+def test_the_tree_decides(spark):
+    """A message that says nothing by itself is one by its template; without the others that show the slot it is none."""
+    assert not any(residue.is_message(m) for m in WIDGETS)
+    assert set(mined(WIDGETS).values()) == {("the widget <*> could not be loaded", True)}
+    rows = [(k, x) for k, x in enumerate(WIDGETS)] + [(9, "A midwife visits you at home.\n" + WIDGETS[0])]
+    pages = spark.createDataFrame(rows, "page_id long, text string")
+    assert {r["id"] for r in residue.residue_pages(pages).collect()} == {0, 1, 2, 3}
+    assert residue.residue_pages(pages.where("page_id in (0, 9)")).count() == 0
+    t = {r["template"]: (r["bad"], r["messages"], r["pages"]) for r in residue.residue_templates(pages).collect()}
+    assert t["the widget <*> could not be loaded"] == (True, 4, 5)
+
+
+def test_leaves_stream_through_a_task():
+    messages = sorted([*WIDGETS, "page not found", "we like maps", *(f"we like {w} and more of {w}" for w in "abc")], key=lambda m: (residue._name(repr(residue._KEYS.key(m.split(" ")))), m))
+    leaf = [residue._name(repr(residue._KEYS.key(m.split(" ")))) for m in messages]
+    batches = [pa.record_batch([pa.array(leaf[k : k + 2], pa.int64()), pa.array(messages[k : k + 2])], ["leaf", "message"]) for k in range(0, len(messages), 2)]
+    out = pa.Table.from_batches(list(residue._mine(iter(batches)))).to_pylist()
+    templates = {r["cluster"]: (r["template"], r["bad"]) for r in out if r["name"] is None}
+    assert {r["name"]: templates[r["cluster"]] for r in out if r["name"]} == {residue._name(m): v for m, v in mined(messages).items()}
+
+
+def test_frames_of_a_stack_trace_keep_their_name(spark):
+    text = "Fatal exception java.lang.NullPointerException\n at org.portal.View.render(View.java:360)\nat org.portal.Main.go(Main.java:77)"
+    assert residue.residue_pages(spark.createDataFrame([(1, text)], "page_id long, text string")).count() == 1
+
+
+def test_long_furniture():
+    notice = "We use cookies and small files to remember what you chose on your last visit. Cookies also tell us which pages are read most often, so that the county can improve them. You can refuse cookies in your browser."
+    assert len(notice) > 188 and mainbody.kind_of(notice) == mainbody.kind_of(notice[:120]) == "cookie"
+    paragraph = "A midwife visits you at home in the first weeks after birth and explains warning signs. Partners are welcome at each visit. The office keeps cookies and coffee ready for all who wait."
+    assert mainbody.kind_of(paragraph) == "sentence" and mainbody.kind_of("Home visits 2024 " + "|".join(["00352"] * 40)) not in ("crumb", "bar")
