@@ -2,7 +2,8 @@
 
 The names of all entries hang in a BK-tree under edit distance (a true metric), which yields every name within a
 threshold by the triangle inequality. Reference lists larger than a bound are split into shards, each with a tree of
-its own; the winners of the shards are merged."""
+its own. What a shard finds depends on the value and a name alone, and candidates have a total order, so the winners of
+the shards merge to the same entry whatever the size of a shard."""
 
 from __future__ import annotations
 
@@ -14,12 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import STAND_INS, map_batches
-from millrace.runtime import spread
 
 UNMATCHED = "UNMATCHED"
-#: Names in one shard, at most.
-SHARD_NAMES = 100_000
-_CACHE_VALUES = 100_000
+#: Names in one shard, about; a shard is what a task holds at a time.
+SHARD_NAMES = 20_000
 _SHORT = {"svc": "service", "svcs": "services", "prgm": "program", "pgm": "program", "ctr": "center", "natl": "national", "mgmt": "management", "dept": "department"}
 _TAIL = re.compile(r"\s+-\s+[^-]*$|\s*/\s+\S.*$|\s+of\s+[A-Z][^,]*$", re.S)
 _HEAD = re.compile(r"^(?:[•*·▪-]\s*|\d{1,2}[.)]\s+|new!\s*|the\s+|our\s+|a\s+)+", re.I)
@@ -27,49 +26,80 @@ _HEAD = re.compile(r"^(?:[•*·▪-]\s*|\d{1,2}[.)]\s+|new!\s*|the\s+|our\s+|a\
 
 def distance(a: str, b: str) -> int:
     """Edit distance (insert, delete, replace), bit-parallel over a."""
-    if not a:
-        return len(b)
-    peq: dict[str, int] = {}
+    return _from(_places(a), len(a), b)
+
+
+def _places(a: str) -> dict[str, int]:
+    out: dict[str, int] = {}
     for i, c in enumerate(a):
-        peq[c] = peq.get(c, 0) | 1 << i
-    m = len(a)
-    full, top, pv, mv, score = (1 << m) - 1, 1 << (m - 1), (1 << m) - 1, 0, m
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _from(places: dict[str, int], m: int, b: str) -> int:
+    """The distance of a text of m letters at these places to b."""
+    if not m:
+        return len(b)
+    get, full, top, pv, mv, score = places.get, (1 << m) - 1, 1 << (m - 1), (1 << m) - 1, 0, m
     for c in b:
-        eq = peq.get(c, 0)
+        eq = get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph, mh = mv | ~(xh | pv) & full, pv & xh
-        score += bool(ph & top) - bool(mh & top)
-        ph, mh = (ph << 1 | 1) & full, (mh << 1) & full
-        pv, mv = mh | ~(xv | ph) & full, ph & xv
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+        ph = (ph << 1 | 1) & full
+        pv, mv = (mh << 1) & full | ~(xv | ph) & full, ph & xv
     return score
 
 
+def _letters(name: str) -> int:
+    """How often it has each letter (by residue, up to six times), in unary: an edit takes one letter away at most and
+    brings one in at most."""
+    count: dict[int, int] = {}
+    out = 0
+    for c in name:
+        k = ord(c) % 61
+        n = count[k] = count.get(k, 0) + 1
+        if n <= 6:
+            out |= 1 << 6 * k + n - 1
+    return out
+
+
 class BKTree:
+    """Nodes are [name, {distance: child}, letters, greatest distance of a child]."""
+
     def __init__(self) -> None:
-        self.root: list | None = None  # [name, {distance: child}]
+        self.root: list | None = None
 
     def add(self, name: str) -> None:
         if self.root is None:
-            self.root = [name, {}]
+            self.root = [name, {}, _letters(name), -1]
             return
         node = self.root
         while d := distance(name, node[0]):
             nxt = node[1].get(d)
             if nxt is None:
-                node[1][d] = [name, {}]
+                node[1][d] = [name, {}, _letters(name), -1]
+                node[3] = max(node[3], d)
                 return
             node = nxt
 
     def within(self, name: str, most: int) -> list[tuple[int, str]]:
-        """(distance, name) of every name at most so far away."""
-        out, todo = [], [self.root] if self.root else []
+        """(distance, name) of every name at most so far away. A node farther by its letters or its length than it and
+        all its children could matter is left without a comparison."""
+        out, todo, own, size, places = [], [self.root] if self.root else [], _letters(name), len(name), _places(name)
         while todo:
-            own, kids = todo.pop()
-            d = distance(name, own)
+            node = todo.pop()
+            both = node[2] & own
+            if max((node[2] ^ both).bit_count(), (own ^ both).bit_count()) > most + max(node[3], 0):
+                continue
+            d = _from(places, size, node[0])
             if d <= most:
-                out.append((d, own))
-            todo.extend(k for e, k in kids.items() if d - most <= e <= d + most)
+                out.append((d, node[0]))
+            todo.extend(k for e, k in node[1].items() if d - most <= e <= d + most)
         return sorted(out)
 
 
@@ -83,140 +113,131 @@ def _skeleton(word: str) -> str:
     return word[:1] + re.sub("[aeiou]", "", word[1:])
 
 
+def _words(raw: str) -> list[tuple[str, bool]]:
+    """The folded words, each with whether a point follows; common short forms are written out."""
+    out = []
+    for m in re.finditer(r"([^\W_]+)(\.?)", unicodedata.normalize("NFKD", raw.replace("&", " and ")).lower()):
+        w = "".join(c for c in m[1] if not unicodedata.combining(c))
+        out.append((_SHORT.get(w, w), bool(m[2]) and w not in _SHORT))
+    return out
+
+
+def _bare(words: list[str]) -> str:
+    """The words without the vowels behind their first letter; short words stay."""
+    return " ".join(_skeleton(w) if len(w) > 4 else w for w in words)
+
+
+def readings(value: str) -> list[str]:
+    """What the value may say, the plainest first: without marks in front, remarks in brackets, places behind;
+    with the words before and behind a comma exchanged, with the first or last word moved to the other end."""
+    plain = re.sub(r"[_\s\u00a0]+", " ", value).strip()
+    bare = re.sub(r"\([^()]*\)?|\[[^\]]*\]", " ", plain).strip() or plain
+    forms: list[str] = []
+    for x in (plain, bare):
+        x = _HEAD.sub("", x)
+        forms.append(x)
+        cut = x
+        while (shorter := _TAIL.sub("", cut).strip()) and shorter != cut:
+            cut = shorter
+            forms.append(cut)
+        if " - " in x:
+            forms.append(x.split(" - ", 1)[1])
+    for x in list(forms):
+        if x.count(",") == 1:
+            a, b = x.split(",")
+            forms.append(f"{b.strip()} {_HEAD.sub('', a.strip())}")
+    for x in list(forms):
+        w = x.replace(",", " ").split()
+        if len(w) > 1:
+            forms.append(" ".join([*w[1:], w[0]]))
+            forms.append(" ".join([w[-1], *w[:-1]]))
+    return list(dict.fromkeys(f for f in forms if f))
+
+
+#: A candidate: stage (equal, near, near with exchanged letters, abbreviated), distance, number of the reading, name, entry.
+Found = tuple[int, int, int, str, str]
+
+
 class Matcher:
-    """Entries by all their names: (entry id, name, is acronym), best names first."""
+    """The names of a list or a shard of it: (entry id, name, is acronym)."""
 
     def __init__(self, names: list[tuple[str, str, bool]]) -> None:
         self.exact: dict[str, str] = {}
         self.acronyms: dict[str, str] = {}
         self.tree = BKTree()
-        self.vocabulary: set[str] = set()
         for entry, name, acronym in names:
-            if acronym:
-                self.acronyms.setdefault(re.sub(r"\W", "", name).lower(), entry)
-                continue
-            key = fold(name)
-            if key and key not in self.exact:
-                self.exact[key] = entry
-                self.tree.add(key)
-                self.vocabulary.update(key.split())
-        self.by_count: dict[int, list[str]] = {}
+            of, key = (self.acronyms, re.sub(r"\W", "", name).lower()) if acronym else (self.exact, fold(name))
+            if key:
+                of[key] = min(entry, of.get(key, entry))
+        self.by_bare: dict[str, list[str]] = {}
+        self.by_initials: dict[str, list[str]] = {}
         for key in sorted(self.exact):
-            self.by_count.setdefault(key.count(" ") + 1, []).append(key)
-        self.by_skeleton: dict[str, str] = {}
-        for w in sorted(self.vocabulary):
-            if len(w) > 4:
-                self.by_skeleton.setdefault(_skeleton(w), w)
-        self._known: dict[str, tuple[int, str] | None] = {}
-
-    def _expand(self, raw: str) -> str:
-        """Abbreviated words (a point behind them, or vowels left out) as the reference list spells them."""
-        out = []
-        for m in re.finditer(r"([^\W_]+)(\.?)", unicodedata.normalize("NFKD", raw.replace("&", " and ")).lower()):
-            w = "".join(c for c in m[1] if not unicodedata.combining(c))
-            if w in self.vocabulary:
-                pass
-            elif w in _SHORT:
-                w = _SHORT[w]
-            elif m[2] and len(w) > 1:
-                near = sorted((distance(w, v[: len(w) + d]), abs(d), len(v), v) for v in self.vocabulary if len(v) > len(w) and v[0] == w[0] for d in (0, -1, 1))
-                if near and near[0][0] <= (len(w) > 2):
-                    w = near[0][3]
-            elif len(w) > 2 and w in self.by_skeleton:
-                w = self.by_skeleton[w]
-            out.append(w)
-        return " ".join(out)
-
-    def _readings(self, value: str) -> list[str]:
-        """What the value may say, the plainest first: without marks in front, remarks in brackets, places behind;
-        with the words before and behind a comma exchanged, with the first or last word moved to the other end."""
-        plain = re.sub(r"[_\s ]+", " ", value).strip()
-        bare = re.sub(r"\([^()]*\)?|\[[^\]]*\]", " ", plain).strip() or plain
-        forms: list[str] = []
-        for x in (plain, bare):
-            x = _HEAD.sub("", x)
-            forms.append(x)
-            cut = x
-            while (shorter := _TAIL.sub("", cut).strip()) and shorter != cut:
-                cut = shorter
-                forms.append(cut)
-            if " - " in x:
-                forms.append(x.split(" - ", 1)[1])
-        for x in list(forms):
-            if x.count(",") == 1:
-                a, b = x.split(",")
-                forms.append(f"{b.strip()} {_HEAD.sub('', a.strip())}")
-        for x in list(forms):
-            w = x.replace(",", " ").split()
-            if len(w) > 1:
-                forms.append(" ".join([*w[1:], w[0]]))
-                forms.append(" ".join([w[-1], *w[:-1]]))
-        return list(dict.fromkeys(f for f in forms if f))
-
-    def find(self, value: str) -> tuple[int, str] | None:
-        """(distance, entry) of the closest entry within reach."""
-        if value in self._known:
-            return self._known[value]
-        found = self._find(value)
-        if len(self._known) >= _CACHE_VALUES:
-            self._known.clear()
-        self._known[value] = found
-        return found
-
-    def _find(self, value: str) -> tuple[int, str] | None:
-        readings = self._readings(value)
-        for x in readings:
-            if entry := self.exact.get(fold(x)):
-                return 0, entry
-            letters = re.sub(r"[\W_]", "", x).lower()
-            if entry := self.acronyms.get(letters):
-                return 0, entry
-        best: tuple[int, str] | None = None
+            self.tree.add(key)
+            words = key.split(" ")
+            self.by_bare.setdefault(_bare(words), []).append(key)
+            self.by_initials.setdefault("".join(w[0] for w in words), []).append(key)
+
+    def find(self, value: str) -> Found | None:
+        """The best candidate; each stage is tried only if those before give none."""
+        own = readings(value)
+        folded = [fold(x) for x in own]
+        if found := [(0, 0, 2 * i, k, self.exact[k]) for i, k in enumerate(folded) if k in self.exact] + self._acronyms(own):
+            return min(found)
+        return self._near(own, folded) or self._with_swaps(folded) or self._abbreviated(own)
+
+    def _acronyms(self, own: list[str]) -> list[Found]:
+        keys = [re.sub(r"[\W_]", "", x).lower() for x in own]
+        return [(0, 0, 2 * i + 1, k, self.acronyms[k]) for i, k in enumerate(keys) if k in self.acronyms]
+
+    def _near(self, own: list[str], folded: list[str]) -> Found | None:
+        """Within reach by edit distance, as typed or with short forms written out; or equal but for left-out vowels."""
+        best: Found | None = None
         seen = set()
-        for x in readings:
-            for key in (fold(x), self._expand(x)):
-                if key in seen or len(key) < 5:
+        for i, x in enumerate(own):
+            words = [w for w, _ in _words(x)]
+            for j, key in enumerate((folded[i], " ".join(words))):
+                if key in seen or not key:
                     continue
                 seen.add(key)
-                if entry := self.exact.get(key):
-                    return 0, entry
-                most = reach(len(key)) if best is None else min(reach(len(key)), best[0] - 1)
-                if most < 0:
-                    continue
-                hits = self.tree.within(key, most)
-                if hits and (best is None or hits[0][0] < best[0]):
-                    best = hits[0][0], self.exact[hits[0][1]]
-        return best or self._with_swaps(readings[:4]) or (self._abbreviated(readings) if "." in value else None)
-
-    def _with_swaps(self, readings: list[str]) -> tuple[int, str] | None:
+                at = 2 * i + j
+                most = reach(len(key)) if best is None else min(reach(len(key)), best[1])
+                found = [(1, d, at, name, self.exact[name]) for d, name in self.tree.within(key, most)] if most else []
+                if key in self.exact:
+                    found.append((1, 0, at, key, self.exact[key]))
+                found += [(1, distance(key, name), at, name, self.exact[name]) for name in self.by_bare.get(_bare(words), ())]
+                best = min([*found, *([best] if best else [])], default=None)
+        return best
+
+    def _with_swaps(self, folded: list[str]) -> Found | None:
         """The closest entry if two letters exchanged count as one edit, not two: the tree gives all names within one
         edit more, those are compared again."""
         found = []
-        for key in dict.fromkeys(map(fold, readings)):
-            if len(key) >= 8:
-                for d, name in self.tree.within(key, reach(len(key)) + 1):
-                    if swaps(key, name) < reach(len(key)):
-                        found.append((d, name, self.exact[name]))
-        return (min(found)[0], min(found)[2]) if found else None
-
-    def _abbreviated(self, readings: list[str]) -> tuple[int, str] | None:
-        """The closest entry word by word, where a word with a point may be the beginning of the entry's."""
-        best = None
-        for x in readings:
-            found = [(m[1], bool(m[2])) for m in re.finditer(r"([^\W_]+)(\.?)", unicodedata.normalize("NFKD", x.replace("&", " and ")).lower())]
-            for name in self.by_count.get(len(found), ()):
-                cost = 0
-                for (w, cut), full in zip(found, name.split(" ")):
-                    d = distance(w, full)
+        for i, key in ((folded.index(k), k) for k in dict.fromkeys(folded)):
+            if most := reach(len(key)):
+                found += [(2, d, i, name, self.exact[name]) for d, name in self.tree.within(key, most + 1) if swaps(key, name) < max(most, 2)]
+        return min(found, default=None)
+
+    def _abbreviated(self, own: list[str]) -> Found | None:
+        """The closest entry word by word, among those with the same first letters: words may be mistyped, and one at least
+        has no vowels or is, with a point, the beginning of the entry's."""
+        found = []
+        for i, x in enumerate(own):
+            words = _words(x)
+            for name in self.by_initials.get("".join(w[0] for w, _ in words), ()):
+                cost, short = 0, False
+                for (w, cut), full in zip(words, name.split(" ")):
+                    bare = w != full and len(full) > 4 and _skeleton(full) == w
+                    d = 0 if bare or w == full else swaps(w, full)
                     if cut and d:
                         d = min(d, *(swaps(w, full[: len(w) + k]) for k in (-1, 0, 1)))
-                    cost += d
+                    cost, short = cost + d, short or cut or bare
                     if d > max(1, len(w) // 3) or cost > 3:
                         break
                 else:
-                    if best is None or (cost, name) < best[:2]:
-                        best = (cost, name, self.exact[name])
-        return (best[0], best[2]) if best else None
+                    if not short:
+                        continue
+                    found.append((3, cost, i, name, self.exact[name]))
+        return min(found, default=None)
 
 
 def swaps(a: str, b: str) -> int:
@@ -235,20 +256,56 @@ def swaps(a: str, b: str) -> int:
 
 
 def reach(length: int) -> int:
-    """The greatest distance at which a name of this length still counts as meant."""
-    return 2 if length < 10 else 3 if length < 18 else 4 if length < 26 else 5
+    """The greatest distance at which a name of this length still counts as meant; under four letters only equality."""
+    return 0 if length < 4 else 1 if length < 5 else 2 if length < 10 else 3 if length < 18 else 4 if length < 26 else 5
 
 
-_MATCHERS: dict = {}
+_MATCHER: dict = {}
 
 
 def _matcher(names: list) -> Matcher:
-    """One matcher for a broadcast list in each worker."""
-    if id(names) not in _MATCHERS:
-        if len(_MATCHERS) > 8:
-            _MATCHERS.clear()
-        _MATCHERS[id(names)] = (names, Matcher(names))
-    return _MATCHERS[id(names)][1]
+    """The matcher of a broadcast shard, made once in a worker; the one before it is dropped."""
+    if _MATCHER.get("names") is not names:
+        _MATCHER.update({"names": names, "matcher": Matcher(names)})
+    return _MATCHER["matcher"]
+
+
+_FOUND = "value string, stage int, distance int, reading int, name string, entry_id string"
+
+
+def _search(values: DataFrame, kept) -> DataFrame:
+    """The best candidate of one shard for each value that has one there."""
+
+    def of(b: pa.RecordBatch):
+        matcher = _matcher(kept.value)
+        rows = [(v, *found) for v in b.column(0).to_pylist() if (found := matcher.find(v))]
+        cols = list(zip(*rows)) or [[]] * 6
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["value", "stage", "distance", "reading", "name", "entry_id"])
+
+    return map_batches(values, of, _FOUND)
+
+
+def _best(values: DataFrame, ref: DataFrame, shard_names: int) -> DataFrame:
+    """value, entry_id, distance of each value with a candidate. The list is searched shard by shard; a shard, of bounded
+    size, is all that goes through the driver or is held by a task at a time."""
+    names = ref.select("entry_id", "name", "is_acronym").where("name <> ''").distinct()
+    shards = max(1, -(-names.count() // shard_names))
+    parts = []
+    for k in range(shards):
+        mine = names.where(F.pmod(F.xxhash64("name"), F.lit(shards)) == k) if shards > 1 else names
+        rows = [tuple(r) for r in mine.orderBy("name", "entry_id").toLocalIterator()]
+        if rows:
+            parts.append(_search(values, values.sparkSession.sparkContext.broadcast(rows)))
+    if not parts:
+        return values.select("value", F.lit(None).cast("string").alias("entry_id"), F.lit(None).cast("int").alias("distance")).limit(0)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    if len(parts) == 1:
+        return out.select("value", "entry_id", "distance")
+    best = out.groupBy("value").agg(F.min(F.struct("stage", "distance", "reading", "name", "entry_id")).alias("b"))
+    return best.select("value", "b.entry_id", "b.distance")
 
 
 def map_values(df: DataFrame, fields: dict[str, DataFrame], id_col: str = "record_id", shard_names: int = SHARD_NAMES) -> DataFrame:
@@ -256,33 +313,19 @@ def map_values(df: DataFrame, fields: dict[str, DataFrame], id_col: str = "recor
     entry_id, name, is_acronym) whose value is not null, blank or a stand-in; "UNMATCHED" and null distance if no
     entry is within reach.
 
-    Every worker keeps what it found for a value, so a value typed in a third of all rows is looked up once. Nothing
-    is shuffled. Of entries at the same distance the one whose name is first in alphabetical order counts. Repeated
-    rows give repeated results; an empty reference list leaves everything unmatched."""
-    spark = df.sparkSession
-    own = spread(df.select(F.col(id_col).cast("long").alias("record_id"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(fields)]), "record_id")
-    kept = []
-    for ref in fields.values():
-        names = [tuple(r) for r in ref.select("entry_id", "name", "is_acronym").distinct().orderBy("is_acronym", "name", "entry_id").toLocalIterator() if r[1]]
-        kept.append([spark.sparkContext.broadcast(names[k : k + shard_names]) for k in range(0, len(names), shard_names)])
-    labels = list(fields)
-
-    def of(b: pa.RecordBatch):
-        cols: tuple[list, ...] = ([], [], [], [])
-        ids = b.column(0).to_pylist()
-        for f, shards in enumerate(kept):
-            matchers = [_matcher(s.value) for s in shards]
-            for i, v in zip(ids, b.column(f + 1).to_pylist()):
-                t = (v or "").strip(" \t\r\n ")
-                if not t or t.lower() in STAND_INS:
-                    continue
-                best = min((x for m in matchers if (x := m.find(t))), default=None)
-                for col, x in zip(cols, (i, labels[f], best[1] if best else UNMATCHED, best[0] if best else None)):
-                    col.append(x)
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["record_id", "field_name", "entry_id", "distance"])
-
-    return map_batches(own, of, "record_id long, field_name string, entry_id string, distance long")
+    Each distinct value is looked up once, however many rows have it, and joined back to them. Candidates are ordered
+    by stage (equal, near, near with exchanged letters, abbreviated), distance, reading, name, entry id. Repeated rows
+    give repeated results; an empty reference list leaves everything unmatched."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.btrim(F.col(c), F.lit(" \t\r\n\u00a0")).alias("value")) for c in fields]))
+    rows = df.select(F.col(id_col).cast("long").alias("record_id"), each.alias("x")).select("record_id", "x.*").where((F.col("value") != "") & ~F.lower("value").isin(*STAND_INS))
+    found = None
+    for field, ref in fields.items():
+        values = rows.where(F.col("field_name") == field).select("value").distinct()
+        parts = values.sparkSession.sparkContext.defaultParallelism
+        one = _best(values.repartition(parts, "value"), ref, shard_names).withColumn("field_name", F.lit(field))
+        found = one if found is None else found.unionByName(one)
+    joined = rows.join(found, ["field_name", "value"], "left")
+    return joined.select("record_id", "field_name", F.coalesce("entry_id", F.lit(UNMATCHED)).alias("entry_id"), F.col("distance").cast("long").alias("distance"))
 
 
 def reference(df: DataFrame, id_col: str, name_cols: list[str] = (), list_cols: list[str] = (), acronym_cols: list[str] = ()) -> DataFrame:
