@@ -62,7 +62,15 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove the table of stage() that df is, once nothing reads it any more."""
+    if path := vars(df).get("_millrace_path"):
+        _remove(df.sparkSession, path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
