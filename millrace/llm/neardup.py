@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import WORD, map_batches
-from millrace.runtime import ship, spread, stage, unique_by
+from millrace.runtime import ship, spread, stage, unique_by, unstage
 
 #: Tokens are counted in so many buckets, to know the rare from the frequent; a table of fixed size.
 BUCKETS = 1 << 16
@@ -393,22 +393,24 @@ def _across(b: pa.RecordBatch, t: float):
     yield _batch(out)
 
 
-def duplicate_classes(links: DataFrame, members: DataFrame, rounds: int = 30) -> DataFrame:
+def duplicate_classes(links: DataFrame, members: DataFrame) -> DataFrame:
     """id, class, near_class, n_links: for each document its class of copies, the smallest class connected to it by
     links, and the number of links of its class.
 
     Connected components by alternating large-star and small-star steps, each a grouped minimum; the edges are
-    written to the shared folder in each round, until they don't change."""
+    written to the shared folder in each round, until a round changes nothing (after some log2 of the longest path);
+    the table of the round before is then removed."""
     edges = stage(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = stage(small, "edges")
+        edges, before = stage(small, "edges"), edges
+        unstage(before)
         mark = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen:
             break

@@ -52,11 +52,25 @@ def _p2(size: int, share: float) -> str:
         pairs AS (SELECT a, b FROM c JOIN n x ON x.page_id = a JOIN n y ON y.page_id = b WHERE common >= {share} * (x.n + y.n - common) - 1e-9)"""
 
 
+def _groups(size: int, share: float) -> str:
+    """Members, classes of equal sets, links between classes, and the smallest class that links lead to."""
+    return _p2(size, share).replace("pairs AS (", "raw AS (").rstrip() + f""", s AS (SELECT page_id, list_sort(list(g)) AS s FROM g GROUP BY 1), m AS (SELECT page_id, min(page_id) OVER (PARTITION BY s) AS class FROM s),
+        l AS (SELECT DISTINCT x.class AS a, y.class AS b FROM raw JOIN m x ON x.page_id = a JOIN m y ON y.page_id = b WHERE x.class <> y.class),
+        ab AS (SELECT least(a, b) AS a, greatest(a, b) AS b FROM l), edge AS (SELECT DISTINCT a, b FROM ab UNION SELECT DISTINCT b, a FROM ab),
+        reach AS (SELECT DISTINCT class AS u, class AS v FROM m UNION SELECT r.u, e.b FROM reach r JOIN edge e ON e.a = r.v)
+        SELECT page_id, class, (SELECT min(v) FROM reach WHERE u = class) AS near_class, (SELECT count(*) FROM edge WHERE a = class) AS n_links FROM m"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": r"""SELECT page_id, CASE WHEN regexp_matches(text, '[^ \t\n\x{A0}\x{3000}\x{3002}]{801,}') THEN 'forced' ELSE 'natural' END AS cut FROM raw_pages WHERE length(text) > 800""",
         "p1_restored": "SELECT page_id, md5(text) AS md5, true AS within, true AS overlapping, true AS at_boundaries FROM raw_pages WHERE length(text) > 800",
         "p2_found": _p2(3, 0.7) + " SELECT a AS page_id_a, b AS page_id_b FROM pairs",
+        "p2_groups": _groups(3, 0.7).replace("WITH d AS", "WITH RECURSIVE d AS", 1),
+        "p2_groups_five": _groups(5, 0.8).replace("WITH d AS", "WITH RECURSIVE d AS", 1),
+        "p2_links": _groups(3, 0.7).split(", edge AS (SELECT DISTINCT")[0] + """, z AS (SELECT DISTINCT x.class AS c, n.n FROM m x JOIN n USING (page_id))
+            SELECT b.a AS class_a, b.b AS class_b, round(common / (x.n + y.n - common), 6) AS similarity FROM (SELECT DISTINCT a, b FROM ab) b JOIN z x ON x.c = b.a JOIN z y ON y.c = b.b
+            JOIN c ON c.a = b.a AND c.b = b.b""",
         "p3_found": _P3 + " SELECT page_id, line_no FROM normal JOIN hot USING (source, line)",
         "p3_clean": _P3 + """, gone AS (SELECT page_id, list(line_no) AS gone FROM normal JOIN hot USING (source, line) GROUP BY page_id)
             SELECT page_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text
