@@ -46,7 +46,6 @@ _STARTS = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in _KINDS.items()))
 _HOLDS = [(w, k) for k, (_, ws) in _KINDS.items() for w in ws]
 #: Lines longer than this are judged by their sentences.
 _LONG = 140
-_SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _LIST = re.compile(r"^\s*(?:[-*•o·▪◦‣–✅✔☑👶🍼➤►]|\d{1,2}[.)])\s+\S")
 _ENDS = tuple(e + q for e in ".!?。！？" for q in ("", "'", '"', "”", "’", ")"))
 _SEPARATORS = re.compile(r"\s*(?:\||·|›|»|::|>|/|•)\s*")
@@ -62,6 +61,14 @@ def clean(line: str) -> str:
     return " ".join(line.split()).lower()
 
 
+def sentences(t: str) -> list[str]:
+    """The sentences of a cleaned line."""
+    t = t.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n")
+    if not t.isascii():
+        t = t.replace("。", "。\n").replace("！", "！\n").replace("？", "？\n")
+    return [x for x in t.split("\n") if x]
+
+
 def kind_of(line: str) -> str:
     """The kind of a line by its own words and shape."""
     if len(line) > 100:
@@ -114,15 +121,16 @@ def _long_furniture(t: str) -> str | None:
     """The kind of furniture a long line is: that of its first sentence, if at least half of its text is furniture; a
     mention of cookies within a paragraph makes no notice of it. A sentence that is long itself is judged by its start
     and its words."""
-    found = [(x, _furniture(x)) for x in _SENTENCES.split(t) if x]
-    if not found or not found[0][1] or found[0][1] in ("menu", "head"):
+    own = sentences(t)
+    kind = _furniture(own[0])
+    if not kind or kind in ("menu", "head"):
         return None
-    return found[0][1] if 2 * sum(len(x) for x, k in found if k) >= len(t) else None
+    return kind if 2 * sum(len(x) for x in own if _furniture(x)) >= len(t) else None
 
 
-def _kinds(lines: list[str]) -> tuple[list[int], list[int]]:
-    """Of each non-blank line its place and the number of its kind."""
-    kinds = [kind_of(x) for x in lines]
+def _kinds(lines: list[str], own: list[str] | None = None) -> tuple[list[int], list[int]]:
+    """Of each non-blank line its place and the number of its kind (own: kinds of the lines by themselves, if known)."""
+    kinds = list(own) if own else [kind_of(x) for x in lines]
     at = [i for i, k in enumerate(kinds) if k != "blank"]
     for a, i in enumerate(at):  # a word of menus that stands alone between lines of the body is a heading there
         if kinds[i] == "menu" and 0 < a < len(at) - 1 and kinds[at[a - 1]] in _BODY and kinds[at[a + 1]] in _BODY and clean(lines[i]) != "menu":
@@ -226,11 +234,11 @@ def visible_lines(text: str) -> list[str]:
     return (render(text) if is_html(text) else text).split("\n")
 
 
-def text_verdicts(text: str, weights: np.ndarray) -> list[tuple[int, bool]]:
+def text_verdicts(text: str, weights: np.ndarray, lines: list[str] | None = None, kinds: list[str] | None = None) -> list[tuple[int, bool]]:
     """(number from 1, whether main) of each non-blank line of a text as it is. A line of HTML is main if any rendered
-    line with text of it is; one that shows nothing is not."""
+    line with text of it is; one that shows nothing is not. lines, kinds: of the visible text, if known."""
     if not is_html(text):
-        return is_main(text.split("\n"), weights)
+        return score_pages([lines or text.split("\n")], weights, [kinds])[0]
     of = source_lines(text)
     main = {no for j, m in is_main(render(text).split("\n"), weights) if m for no in of[j - 1]}
     return [(no, no in main) for no, x in enumerate(text.split("\n"), 1) if x.strip()]
@@ -241,14 +249,14 @@ def is_main(lines: list[str], weights: np.ndarray) -> list[tuple[int, bool]]:
     return score_pages([lines], weights)[0]
 
 
-def score_pages(pages: list[list[str]], weights: np.ndarray) -> list[list[tuple[int, bool]]]:
+def score_pages(pages: list[list[str]], weights: np.ndarray, kinds: list[list[str] | None] | None = None) -> list[list[tuple[int, bool]]]:
     k = len(NAMES)
     w = weights.tolist()
     near = [w[s * k : (s + 1) * k] for s in range(5)]
     rest = w[5 * k :]
     out = []
-    for lines in pages:
-        at, codes = _kinds(lines)
+    for lines, known in zip(pages, kinds or [None] * len(pages)):
+        at, codes = _kinds(lines, known)
         n = len(at)
         own = []
         for j, shape in enumerate(_shapes(lines, at, codes)):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import WORD
-from millrace.llm.mainbody import _BODY, clean, kind_of, text_verdicts, visible_lines
+from millrace.llm.mainbody import _BODY, clean, kind_of, sentences, text_verdicts, visible_lines
 from millrace.runtime import ship, spread, stage, unique_by
 
 _NAME = r"[A-Za-z][\w.:/ -]{0,40}?"
@@ -44,8 +44,8 @@ SLOTTED = re.compile(
 _PLAIN = {"menu", "bar", "crumb", "head", "link", "legal", "meta", "blank"}
 #: Masked lines of so many characters or more are judged sentence by sentence.
 MESSAGE_CHARS = 200
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_DIGIT = re.compile(r"\d")
 _CALL = re.compile(r"[a-z$_][\w.$]*(?=\()")
 #: Words of the patterns above; where two messages differ in one of them no slot is made of it.
 _TELLING = set(WORD.findall(re.sub(r"\\[a-zA-Z]", " ", MESSAGE.pattern + " " + SLOTTED.pattern)))
@@ -54,30 +54,35 @@ _UNSPACED = [w for w in _TELLING if not w.isascii() and any(ord(c) > 0x2FFF for
 
 def mask(line: str) -> str:
     """A line with its variable parts (quotations, paths, whatever holds a digit) as <*>."""
-    t = _QUOTED.sub("<*>", clean(line)) if "'" in line or '"' in line else clean(line)
-    if "/" not in t and not any(map(str.isdigit, t)):
-        return t
-    return " ".join([_slot(x) if x.count("/") > 1 or any(map(str.isdigit, x)) else x for x in t.split(" ")])
+    return _masked(clean(line))
+
+
+def _masked(t: str) -> str:
+    if "'" in t or '"' in t:
+        t = _QUOTED.sub("<*>", t)
+    return " ".join([x if x.isalpha() else _slot(x) for x in t.split(" ")])
 
 
 def _slot(token: str) -> str:
-    """<*>; of a call, as in frames of a stack trace, the name stays."""
+    """<*> for a token with a digit or of a path; of a call, as in frames of a stack trace, the name stays."""
+    if not _DIGIT.search(token) and token.count("/") < 2:
+        return token
     call = _CALL.match(token)
     return f"{call[0]}(<*>)" if call else "<*>"
 
 
 def parts(line: str) -> list[str]:
     """What is judged of a line, masked: the line, or its sentences if it is a long one."""
-    if len(line) >= MESSAGE_CHARS:
-        own = [mask(x) for x in _SENTENCE.split(line.strip()) if x.strip()]
-        if sum(map(len, own)) + len(own) > MESSAGE_CHARS:
-            return own
-    return [mask(line)]
+    t = clean(line)
+    if len(t) < MESSAGE_CHARS:
+        return [_masked(t)]
+    own = [_masked(x) for x in sentences(t)]
+    return own if sum(map(len, own)) + len(own) > MESSAGE_CHARS else [_masked(t)]
 
 
+_SLOT_HINTS = ("{", "@@", "[[", "[i", "[y", "[e", "[a", "[t", "[o", "<", "undefined", "xx/", "__")
 _FILLER_HINTS = ("placeholder", "sample ", "your text", "relleno", "remplissage", "test page", "blah", "asdf", "dummy", "de prueba", "xxx")
 _LATIN_HINTS = ("ipsum", "lorem", "consectetur", "adipiscing", "eiusmod", "incididunt", "nostrud", "aliqua", "veniam", "minim ", "elit ")
-_SLOT_HINTS = ("{", "@@", "[[", "[i", "[y", "[e", "[a", "[t", "[o", "<", "undefined", "xx/", "__")
 
 
 def has_residue(lines: list[str], text: str, low: str) -> bool:
@@ -133,9 +138,24 @@ class PrefixTree:
         return best
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern that are in no group."""
+    out, depth, start = [], 0, 0
+    for m in re.finditer(r"\\.|[()|]", pattern):
+        depth += (m[0] == "(") - (m[0] == ")")
+        if m[0] == "|" and not depth:
+            out.append(pattern[start : m.start()])
+            start = m.end()
+    return [*out, pattern[start:]]
+
+
+#: MESSAGE in two parts, those alternatives that begin a line and the others.
+_BEGINS, _HOLDS = (re.compile("|".join(x for x in _alternatives(MESSAGE.pattern) if x.startswith("^") == first)) for first in (True, False))
+
+
 def is_message(template: str) -> bool:
-    """The verdict on a template."""
-    return bool(MESSAGE.search(template) or SLOTTED.search(template))
+    """The verdict on a template: what MESSAGE finds, or SLOTTED beside a slot."""
+    return bool(_BEGINS.match(template) or _HOLDS.search(template) or ("<*>" in template and SLOTTED.search(template)))
 
 
 def _name(message: str) -> int:
@@ -145,12 +165,11 @@ def _name(message: str) -> int:
 _LINES: dict[str, tuple] = {}
 
 
-def _judged(line: str) -> tuple:
+def _judged(line: str, k: str) -> tuple:
     """Of a line: whether it is such as bodies consist of, whether it is a real one of these (no title), and names and
-    texts of its masked parts; nothing for plain furniture."""
+    texts of its masked parts; nothing for plain furniture. k: the kind of the line."""
     out = _LINES.get(line)
     if out is None:
-        k = kind_of(line)
         own = () if k in _PLAIN else tuple((_name(m), m) for m in parts(line))
         out = (2 * (k in _BODY and k != "title") + (k in _BODY), own)
         if len(line) <= 100:
@@ -175,8 +194,11 @@ def _reader(weights: np.ndarray | None):
                 lines, low = visible_lines(t), t.lower()
                 bad = has_residue(lines, t, low)
                 names, codes, new = [], [], []
-                for no, x in enumerate(lines) if not bad else ():
-                    code, own = _judged(x)
+                kinds = list(map(kind_of, lines)) if not bad else []
+                for no, k in enumerate(kinds):
+                    if k in _PLAIN:
+                        continue
+                    code, own = _judged(lines[no], k)
                     for j, (name, m) in enumerate(own):
                         names.append(name)
                         codes.append(8 * no + 4 * (j == 0) + code)
@@ -185,7 +207,7 @@ def _reader(weights: np.ndarray | None):
                             new.append(m)
                 if len(met) > 2_000_000:
                     met.clear()
-                furniture = None if weights is None or bad else [no for no, main in text_verdicts(t, weights) if not main]
+                furniture = None if weights is None or bad else [no for no, main in text_verdicts(t, weights, lines, kinds) if not main]
                 for col, v in zip(cols, (i, bad, names, codes, new, furniture)):
                     col.append(v)
             kinds = (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()))
