@@ -218,25 +218,21 @@ class Matcher:
         return min(found, default=None)
 
     def _abbreviated(self, own: list[str]) -> Found | None:
-        """The closest entry word by word, among those with the same first letters: words may be mistyped, and one at least
-        has no vowels or is, with a point, the beginning of the entry's."""
+        """The closest entry among those with the same first letters once abbreviated words are written out as theirs: a
+        word without its vowels, or, with a point, one that begins like the entry's word, with or without its vowels. One word at least must be such, the
+        rest must be within reach, an exchange of letters as one edit."""
         found = []
         for i, x in enumerate(own):
             words = _words(x)
             for name in self.by_initials.get("".join(w[0] for w, _ in words), ()):
-                cost, short = 0, False
-                for (w, cut), full in zip(words, name.split(" ")):
-                    bare = w != full and len(full) > 4 and _skeleton(full) == w
-                    d = 0 if bare or w == full else swaps(w, full)
-                    if cut and d:
-                        d = min(d, *(swaps(w, full[: len(w) + k]) for k in (-1, 0, 1)))
-                    cost, short = cost + d, short or cut or bare
-                    if d > max(1, len(w) // 3) or cost > 3:
-                        break
-                else:
-                    if not short:
-                        continue
-                    found.append((3, cost, i, name, self.exact[name]))
+                full, short = [], False
+                for (w, cut), f in zip(words, name.split(" ")):
+                    bare = w != f and len(f) > 4 and _skeleton(f) == w
+                    begins = cut and w != f and (_skeleton(f).startswith(w) or min(swaps(w, f[: len(w) + k]) for k in (-1, 0, 1)) <= (len(w) > 2))
+                    full.append(f if bare or begins else w)
+                    short |= bare or begins
+                if short and (d := swaps(" ".join(full), name)) <= reach(len(name)):
+                    found.append((3, d, i, name, self.exact[name]))
         return min(found, default=None)
 
 
