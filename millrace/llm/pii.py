@@ -1,14 +1,16 @@
 """Problem 10: personal information in free text, found and replaced by typed placeholders.
 
 Addresses, numbers and e-mails have forms of their own and are found by patterns. Names are labelled by a skip-chain
-conditional random field: the tokens of a stretch of capitalised words form a chain, equal words of a document share a
-skip edge, and messages are passed until all occurrences agree as far as their contexts let them. The potentials of
-words are fitted on the whole corpus, from how often a word stands beside a known name in the form of a name."""
+conditional random field: the tokens of a stretch of capitalised words form a chain, equal and similar words of a
+document are joined by skip edges whose potential favours one role for both, and messages are passed over chains and
+skip edges until they change no more. The potentials of words are fitted on the whole corpus, from how often a word
+stands beside a known name in the form of a name."""
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -50,23 +52,33 @@ _STREETS = ("calle", "camino", "avenida", "av. ", "paseo", "carretera", "calzada
 #: What a match of the patterns above can't do without; cheap to find.
 _PHONE_CORE = re.compile(rf"\d{{3}}{_D}{{0,2}}\d{{4}}|\+\d")
 _ID_CORE = re.compile(r"\d{7}|\d\d.{1,2}\d{4}|\d[A-Za-z]\d{3}|[A-Za-z]\d{6}|\d{4}-\d{4}-\d")
-_EMAIL_CORE = re.compile(rf"[@＠]|(?:[(\[{{]|{_S})at(?:[)\]}}]|{_S})", re.I)
+_EMAIL_CORE = re.compile(rf"[@＠]|[(\[{{]{_S}?at{_S}?[)\]}}]|{_S}at{_S}{{1,2}}{_HOST}(?:{_SPELLED}{_HOST})*{_SPELLED}[A-Za-z]{{2}}", re.I)
 
 
-def _around(core: re.Pattern, pattern: re.Pattern, text: str, before: int, after: int):
-    """The matches of pattern near those of its core."""
+def _around(core: re.Pattern, pattern: re.Pattern, text: str, reach: int):
+    """The matches of pattern that hold one of its core; reach: more than the length of any match, so none is lost."""
     low = high = -1
     for m in core.finditer(text):
-        if m.start() - before <= high:
-            high = m.end() + after
+        if m.start() - reach <= high:
+            high = m.end() + reach
             continue
         if high > 0:
             yield from pattern.finditer(text, low, high)
-        low, high = max(0, m.start() - before), m.end() + after
+        low, high = max(0, m.start() - reach), m.end() + reach
     if high > 0:
         yield from pattern.finditer(text, low, high)
 
 
+def _on_lines(core: re.Pattern, pattern: re.Pattern, text: str):
+    """The matches of pattern, which has no longest one, in the lines that hold its core; none spans lines."""
+    done = 0
+    for m in core.finditer(text):
+        if m.start() >= done:
+            low = text.rfind("\n", 0, m.start()) + 1
+            done = (text.find("\n", m.end()) + 1 or len(text) + 1) - 1
+            yield from pattern.finditer(text, low, done)
+
+
 #: Before a number of its own stands none of these.
 _JOINED = re.compile(r"[\w.\-–/$#]")
 _MONTHS = {"january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"}
@@ -86,6 +98,10 @@ _STEPS = {
 _ENDS = (OTHER, FAMILY, GIVEN_2, INITIAL_2)
 _BEGINS = (OTHER, GIVEN, INITIAL, FAMILY_1)
 _KNOWN, _UNKNOWN, _SKIP = 4.0, -6.0, 1.5
+#: Words less often beside a known partner than at these log odds (one place in thirteen) are ordinary words.
+_LEAST_ODDS = -2.5
+#: Messages are passed until none changes by more, or so many rounds (trees need two; loops settle within a few).
+_SETTLED, _ROUNDS = 1e-3, 50
 
 
 def _tokens(text: str) -> list[tuple[int, int, str, str]]:
@@ -158,21 +174,21 @@ def learn_names(docs: DataFrame, known: DataFrame, text_col: str = "text", round
         as_given = pairs.join(family.withColumnRenamed("word", "f"), "f", "left_semi").groupBy(F.col("g").alias("word")).agg(F.sum("n").alias("n_given"))
         as_family = pairs.join(given.withColumnRenamed("word", "g"), "g", "left_semi").groupBy(F.col("f").alias("word")).agg(F.sum("n").alias("n_family"))
         odds = lambda n, t: F.log((n + 0.5) / (F.greatest(t - n, F.lit(0)) + 1.5))
-        joined = alone.join(as_given, "word", "left").join(as_family, "word", "left").fillna(0, ["n_given", "n_family"]).where("n_given + n_family >= 2")
+        joined = alone.join(as_given, "word", "left").join(as_family, "word", "left").fillna(0, ["n_given", "n_family"]).where("n_given + n_family > 0")
         table = stage(joined.select("word", odds(F.col("n_given"), F.col("total")).alias("given"), odds(F.col("n_family"), F.col("total")).alias("family")), f"names{k}")
         given = table.where("given > -0.7 and given > family").select("word").union(seeds.where("is_given").select("word")).distinct()
         family = table.where("family > -0.7 and family > given").select("word").union(seeds.where("not is_given").select("word")).distinct()
     sure = seeds.groupBy("word").agg(F.max(F.when(F.col("is_given"), _KNOWN)).alias("g"), F.max(F.when(~F.col("is_given"), _KNOWN)).alias("f"))
-    return table.where("given > -2.5 or family > -2.5").join(sure, "word", "full").select(
+    return table.where(f"given > {_LEAST_ODDS} or family > {_LEAST_ODDS}").join(sure, "word", "full").select(
         "word", F.greatest(F.coalesce("given", F.lit(_UNKNOWN)), F.coalesce("g", F.lit(_UNKNOWN))).alias("given"), F.greatest(F.coalesce("family", F.lit(_UNKNOWN)), F.coalesce("f", F.lit(_UNKNOWN))).alias("family")
     )
 
 
 class NameModel:
-    """The skip-chain model over the potentials of words."""
+    """The skip-chain model over the potentials of words (word: given, family). skip: the weight of a skip edge."""
 
-    def __init__(self, table: dict[str, tuple[float, float]]) -> None:
-        self.table = table
+    def __init__(self, table: dict[str, tuple[float, float]], skip: float = _SKIP) -> None:
+        self.table, self.skip = table, skip
 
     def names(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of each name."""
@@ -183,47 +199,27 @@ class NameModel:
             return []
         chains: list[list[int]] = []
         done = -1
-        for i in hits:
+        for i in hits:  # a chain is the whole stretch around a word with potentials
             if i <= done:
                 continue
-            a = i
-            while a > done + 1 and found[a][3] and i - a < 3:
+            a = b = i
+            while found[a][3]:
                 a -= 1
-            b = i
-            while b + 1 < len(found) and found[b + 1][3] and (b - i < 3 or any(found[j][2] in table for j in range(b - 1, b + 1))):
+            while b + 1 < len(found) and found[b + 1][3]:
                 b += 1
             chains.append(list(range(a, b + 1)))
             done = b
         unary = {i: self._unary(found[i]) for c in chains for i in c}
-        places: dict[str, list[int]] = defaultdict(list)
-        for i in unary:
-            if len(found[i][2]) > 1:
-                places[found[i][2]].append(i)
-        repeated = {w: p for w, p in places.items() if len(p) > 1}
-        extra: dict[int, dict[int, float]] = {}
-        of = {i: c for c, chain in enumerate(chains) for i in chain}
-        if repeated:
-            # messages over the skip edges: what the chains of the other occurrences believe
-            touched = {of[i] for p in repeated.values() for i in p}
-            for _ in range(2):
-                belief = {}
-                for c in touched:
-                    belief.update(self._marginals(found, chains[c], unary, extra))
-                extra = {}
-                for p in repeated.values():
-                    total = Counter()
-                    for i in p:
-                        for label, x in belief[i].items():
-                            total[_ROLE[label]] += x
-                    for i in p:
-                        mine = Counter()
-                        for label, x in belief[i].items():
-                            mine[_ROLE[label]] += x
-                        rest = {r: (total[r] - mine[r]) / (len(p) - 1) for r in ("o", "g", "f")}
-                        extra[i] = {label: _SKIP * (rest.get(_ROLE[label], 0.0) - 1 / 3) for label in unary[i]}
+        best = [self._best(found, c, unary, {}) for c in chains]
+        edges = _skip_edges(found, unary) if self.skip else []
+        if edges:
+            # where the best labels of the chains keep all edges, no labels are better for all together
+            role = {i: _ROLE[label] for c, labels in zip(chains, best) for i, label in zip(c, labels)}
+            if any(role[i] != role[j] for i, j in edges):
+                extra = self._messages(found, chains, unary, edges)
+                best = [self._best(found, c, unary, extra) for c in chains]
         out = []
-        for chain in chains:
-            labels = self._best(found, chain, unary, extra)
+        for chain, labels in zip(chains, best):
             start = None
             for k, (i, label) in enumerate(zip(chain, labels)):
                 before = labels[k - 1] if k else OTHER
@@ -239,6 +235,45 @@ class NameModel:
                 out.append((start, found[chain[-1]][1]))
         return out
 
+    def _messages(self, found, chains, unary, edges) -> dict[int, dict[int, float]]:
+        """What the skip edges add to each token's potentials in the end.
+
+        Each occurrence of a word is joined to the one before it, and a similar word (an accent or one letter more) to
+        its last one. An edge's potential is exp(skip) where both tokens have the same role (none, given, family). Its
+        message is the sender's belief without what came over the same edge, taken through that potential; beliefs of
+        a chain are exact, by its forward and backward sums."""
+        of = {i: c for c, chain in enumerate(chains) for i in chain}
+        into: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i, j in edges:
+            into[j].append((i, j))
+            into[i].append((j, i))
+        message = {e: (0.0, 0.0, 0.0) for i in into for e in into[i]}
+        extra: dict[int, dict[int, float]] = {}
+        gain, stale = math.exp(self.skip) - 1.0, {of[i] for i in into}
+        for _ in range(_ROUNDS):
+            belief: dict[int, dict[int, float]] = {}
+            for c in stale:
+                belief.update(self._marginals(found, chains[c], unary, extra))
+            stale = set()
+            for i in belief:
+                for j, _i in into.get(i, ()):
+                    back = message[j, i]
+                    role = [1e-9, 1e-9, 1e-9]
+                    for label, x in belief[i].items():
+                        role[_ROLE[label]] += x * math.exp(-back[_ROLE[label]])
+                    total = sum(role)
+                    new = tuple(math.log(1.0 + gain * x / total) for x in role)
+                    if max(abs(a - b) for a, b in zip(new, message[i, j])) > _SETTLED:
+                        message[i, j] = new
+                        stale.add(of[j])
+            for i, own in into.items():
+                if of[i] in stale:
+                    total = [sum(message[e][r] for e in own) for r in range(3)]
+                    extra[i] = {label: total[_ROLE[label]] for label in unary[i]}
+            if not stale:
+                break
+        return extra
+
     def _unary(self, token: tuple[int, int, str, str]) -> dict[int, float]:
         w = token[2]
         if len(w) == 1:
@@ -306,7 +341,34 @@ class NameModel:
         return out
 
 
-_ROLE = {OTHER: "o", GIVEN: "g", GIVEN_2: "g", FAMILY: "f", FAMILY_1: "f", INITIAL: "g", INITIAL_2: "g"}
+_ROLE = {OTHER: 0, GIVEN: 1, GIVEN_2: 1, FAMILY: 2, FAMILY_1: 2, INITIAL: 1, INITIAL_2: 1}
+
+
+def _plain(word: str) -> str:
+    """Without accents and apostrophes."""
+    t = word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    return t.replace("'", "").replace("’", "")
+
+
+def _skip_edges(found, unary) -> list[tuple[int, int]]:
+    """Pairs of tokens of chains, each joined to the last token before it of the same word, and words that differ by
+    accents, apostrophes or one letter at the end to the last token of the other."""
+    last: dict[str, int] = {}
+    edges = []
+    for i in sorted(unary):
+        w = found[i][2]
+        if len(w) < 2:
+            continue
+        if w in last:
+            edges.append((last[w], i))
+        else:
+            p = _plain(w)
+            near = [last[v] for v in dict.fromkeys((p, p[:-1])) if len(v) > 3 and v in last]
+            if near:
+                edges.append((max(near), i))
+            last.setdefault(p, i)
+        last[w] = i
+    return edges
 
 
 def find_pii(text: str, model: NameModel) -> list[tuple[str, int, int]]:
@@ -318,11 +380,11 @@ def find_pii(text: str, model: NameModel) -> list[tuple[str, int, int]]:
 
     low = text.lower()
     if "@" in text or "＠" in text or "at]" in low or "at)" in low or "at}" in low or (" dot" in low and " at " in low) or " dot" in low:
-        for m in _around(_EMAIL_CORE, EMAIL, text, 80, 80):
+        for m in _on_lines(_EMAIL_CORE, EMAIL, text):
             taken.append((m.start(), m.end(), "email"))
     if any(map(str.isdigit, text)):
-        matches = [("phone", m) for m in _around(_PHONE_CORE, PHONE, text, 12, 30)]
-        matches += [("id_number", m) for m in _around(_ID_CORE, ID_NUMBER, text, 8, 12)]
+        matches = [("phone", m) for m in _around(_PHONE_CORE, PHONE, text, 64)]
+        matches += [("id_number", m) for m in _around(_ID_CORE, ID_NUMBER, text, 32)]
         matches += [("address", m) for m in ADDRESS.finditer(text) if not m.start() or not _JOINED.match(text[m.start() - 1])]
         if any(w in low for w in _STREETS):
             matches += [("address", m) for m in STREET_FIRST.finditer(text)]
