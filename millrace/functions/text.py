@@ -78,7 +78,10 @@ def same_domain(base: Column, other: Column) -> Column:
     return (b == o) | o.endswith(F.concat(F.lit("."), b))
 
 
-def holds_any(c: Column, terms: list[str]) -> Column:
+def holds_any(c: Column, terms: list[str] | Column) -> Column:
+    """Whether the text holds a term of a fixed list; terms may also be the array that held_terms made of the text."""
+    if isinstance(terms, Column):
+        return F.size(terms) > 0
     out = F.lit(False)
     for t in terms:
         out = out | c.contains(t)
@@ -90,7 +93,9 @@ def held(c: Column, terms: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(c.contains(t), F.lit(t)) for t in terms])) if terms else F.array().cast("array<string>")
 
 
-def n_held(c: Column, terms: list[str]) -> Column:
+def n_held(c: Column, terms: list[str] | Column) -> Column:
+    if isinstance(terms, Column):
+        return F.size(terms)
     out = F.lit(0)
     for t in terms:
         out = out + c.contains(t).cast("int")

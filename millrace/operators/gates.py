@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators.terms import held_terms
 
-# Word lists that decide results.
+# Word lists that decide results. Entries with a hyphen or an underscore, which pieces of a path never
+# have, are left out of the two lists of segments.
 GOOD_SEGMENTS = ["wic", "maternal", "prenatal", "perinatal", "mcah", "mch", "infant", "postpartum", "breastfeed", "lactation", "reproductive", "newborn", "pregnancy", "birth", "doula", "midwife", "obstetric", "miechv"]
 BAD_SEGMENTS = ["login", "logout", "admin", "news", "blog", "announcement", "event", "calendar", "permit", "license", "fee", "job", "career", "employment", "bid", "rfp", "procurement", "agendas", "minutes", "board", "meeting", "facebook", "twitter", "instagram", "youtube", "linkedin", "donate", "volunteer", "#"]
 GENERIC_TEXTS = ["skip to main content", "skip to content", "click here to learn more", "click here", "learn more", "read more", "find out more", "more information", "staff login", "login", "sign in", "back to top", "print this page", "share", "email this page", "home", "contact us", "sitemap", "accessibility"]
@@ -20,14 +22,16 @@ PLACEHOLDERS = ["not found", "not specified", "", "none", "n/a"]
 CRITICAL_PLACEHOLDERS = ["Not specified", "Not found", ""]
 
 
-def url_gate(url: Column, link_text: Column, aliases: list[str], good: list[str] = GOOD_SEGMENTS, bad: list[str] = BAD_SEGMENTS) -> Column:
+def url_gate(url: Column, link_text: Column, aliases: list[str] | tuple[Column, Column], good: list[str] = GOOD_SEGMENTS, bad: list[str] = BAD_SEGMENTS) -> Column:
     """struct<keep, reason>: an ordered list of decisions, the first that applies counts. Texts and paths are lowered
-    once. Path pieces match whole dictionary entries only."""
+    once. Path pieces match whole dictionary entries only. aliases: a fixed list, or the arrays that held_terms made of
+    the link's text and (with hyphens or underscores for spaces) of the path."""
     text, path, parts = F.trim(F.lower(F.coalesce(link_text, F.lit("")))), T.url_path(url), T.path_parts(url)
     say = lambda keep, why: F.struct(F.lit(keep).alias("keep"), F.lit(why).alias("reason"))
-    in_path = F.lit(False)
-    for a in aliases:
-        in_path = in_path | path.contains(a.replace(" ", "-")) | path.contains(a.replace(" ", "_"))
+    if isinstance(aliases, tuple):
+        aliases, in_path = aliases[0], F.size(aliases[1]) > 0
+    else:
+        in_path = T.holds_any(path, [a.replace(" ", x) for a in aliases for x in "-_"])
     return (
         F.when(F.coalesce(~F.lower(url).startswith("http"), F.lit(True)), say(False, "invalid url"))
         .when(text.isin(*GENERIC_TEXTS), say(False, "generic link text"))
@@ -41,20 +45,24 @@ def url_gate(url: Column, link_text: Column, aliases: list[str], good: list[str]
     )
 
 
-def content_score(lowered: Column, aliases: list[str], indicators: list[str] = INDICATORS) -> Column:
+def content_score(lowered: Column, aliases: list[str] | Column, indicators: list[str] = INDICATORS) -> Column:
     """Number of aliases in the lowered text, and one more if it holds at least three indicators."""
     return T.n_held(lowered, aliases) + (T.n_held(lowered, indicators) >= 3).cast("int")
 
 
-def page_gate(df: DataFrame, aliases: list[str], text_col: str = "text", least_chars: int = 200, least_score: int = 1) -> DataFrame:
-    """df with score, is_program_page, reason. The length is tested before the dictionary is scanned."""
+def page_gate(df: DataFrame, aliases: list[str] | DataFrame, text_col: str = "text", least_chars: int = 200, least_score: int = 1) -> DataFrame:
+    """df with score, is_program_page, reason. The length is tested before the dictionary (a fixed list, or a table of
+    any size) is scanned."""
     low = df.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    if isinstance(aliases, DataFrame):
+        low = held_terms(low, F.when(F.length("_low") >= least_chars, F.col("_low")), aliases, "_held")
+        aliases = F.col("_held")
     score = F.when(F.length("_low") >= least_chars, content_score(F.col("_low"), aliases)).otherwise(0)
     reason = F.when(F.length("_low") < least_chars, "page too short").when(F.col("score") < least_score, "no registry signal").otherwise("program page")
-    return low.withColumn("score", score).withColumn("reason", reason).withColumn("is_program_page", F.col("reason") == "program page").drop("_low")
+    return low.withColumn("score", score).withColumn("reason", reason).withColumn("is_program_page", F.col("reason") == "program page").drop("_low", "_held")
 
 
-def link_score(url: Column, link_text: Column, aliases: list[str], keywords: list[str], excluded: list[str], skip: list[str] = BAD_SEGMENTS) -> Column:
+def link_score(url: Column, link_text: Column, aliases: list[str] | Column, keywords: list[str] | Column, excluded: list[str], skip: list[str] = BAD_SEGMENTS) -> Column:
     """0 for skipped paths and texts; else 3 for an alias, 2 and the relevance for keywords, -5 for social hosts, -3 for
     excluded words without keywords."""
     both = F.lower(F.concat_ws(" ", F.coalesce(link_text, F.lit("")), F.coalesce(url, F.lit(""))))
@@ -69,7 +77,7 @@ def link_score(url: Column, link_text: Column, aliases: list[str], keywords: lis
     return F.when(skipped, 0.0).otherwise(scored)
 
 
-def relevance(lowered: Column, keywords: list[str]) -> Column:
+def relevance(lowered: Column, keywords: list[str] | Column) -> Column:
     """Hits of keywords over five, 1 at most; a keyword listed twice counts twice."""
     return F.least(F.lit(1.0), T.n_held(lowered, keywords) / 5.0)
 
@@ -84,7 +92,7 @@ def tiered_link_score(url: Column, link_text: Column, base: Column, tiers: list[
     return F.greatest(F.lit(0.0), total - F.when(outside, external).otherwise(0.0))
 
 
-def page_class_score(lowered: Column, keywords: list[str]) -> Column:
+def page_class_score(lowered: Column, keywords: list[str] | Column) -> Column:
     """2 for each keyword, 3 for eligibility, 3 for how to apply; a program page has 5."""
     return T.n_held(lowered, keywords) * 2.0 + F.when(T.holds_any(lowered, [*ELIGIBILITY_WORDS, "who can"]), 3.0).otherwise(0.0) + F.when(T.holds_any(lowered, [*APPLY_WORDS, "register"]), 3.0).otherwise(0.0)
 

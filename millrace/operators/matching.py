@@ -6,16 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators.terms import BLOCK_TERMS, first_aliases, first_contained, held_terms
 
-#: A dictionary of up to so many terms becomes literals of the plan; larger ones are joined by first_named, an error elsewhere.
-MOST_TERMS = 2_000
 
-
-def dictionary(df: DataFrame, *columns: str, most: int = MOST_TERMS) -> list[tuple]:
-    """The rows of a small dimension in order, for use as literals; an error beyond the bound."""
+def dictionary(df: DataFrame, *columns: str, most: int = 2_000) -> list[tuple]:
+    """The rows of a dimension of fixed size (a list of places) in order, for use as literals; an error beyond the
+    bound. Dictionaries that may grow go through operators.terms."""
     rows = [tuple(r) for r in df.select(*columns).limit(most + 1).collect()]
     if len(rows) > most:
-        raise ValueError(f"the dictionary has more than {most} terms, which only first_named can join")
+        raise ValueError(f"the dimension has more than {most} rows")
     return rows
 
 
@@ -28,44 +27,15 @@ def alias_dimension(registry: DataFrame, id_col: str = "program_id", aliases: tu
     return flat.groupBy("alias").agg(F.max_by("program_id", key).alias("program_id"), F.min(key).alias("first")).select("alias", "program_id", F.concat_ws("#", F.col("first.program_id"), F.lpad(F.col("first.pos").cast("string"), 4, "0")).alias("ord"))
 
 
-def first_alias(lowered: Column, ordered: list[tuple[str, str]], whole: bool = True) -> Column:
-    """The program of the first alias (alias, program) that the text holds; not whole: of two words or more, all of
-    whose words it holds somewhere."""
-    branches = []
-    for alias, program in ordered:
-        parts = alias.split()
-        if whole:
-            hit = lowered.contains(alias)
-        elif len(parts) > 1:
-            hit = lowered.contains(parts[0])
-            for p in parts[1:]:
-                hit = hit & lowered.contains(p)
-        else:
-            continue
-        branches.append((hit, F.lit(program)))
-    return _first(branches)
-
-
-def _first(branches: list[tuple[Column, Column]]) -> Column:
-    """The value of the first condition that holds, as one flat CASE; null if none does."""
-    if not branches:
-        return F.lit(None).cast("string")
-    out = F.when(*branches[0])
-    for hit, value in branches[1:]:
-        out = out.when(hit, value)
-    return out
-
-
-def match_registry(df: DataFrame, aliases: DataFrame, registry: DataFrame, id_col: str, text: Column) -> DataFrame:
+def match_registry(df: DataFrame, aliases: DataFrame, registry: DataFrame, id_col: str, text: Column, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """id, program_id, confidence: the first alias held (1.0), else the first alias of several words all of which are
     held (0.8), else the program with most words of four letters in common with the text, two at least (0.5; the first
     in order of ids). Not matched: null and 0.0.
 
-    The dictionary becomes literals over one lowered text; only the words of rows that the first passes leave over are
-    joined with those of the names."""
-    ordered = [(a, p) for _, a, p in sorted(dictionary(aliases, "ord", "alias", "program_id"))]
+    One pass of the automaton over the lowered text gives the first two; only the words of rows that they leave over
+    are joined with those of the names."""
     low = df.select(F.col(id_col).alias("id"), F.lower(text).alias("low"))
-    passes = low.withColumn("p1", first_alias(F.col("low"), ordered)).withColumn("p2", first_alias(F.col("low"), ordered, whole=False))
+    passes = first_aliases(low, F.col("low"), aliases, block_terms)
     rest = passes.where("p1 is null and p2 is null").select("id", F.explode(F.array_distinct(T.tokens(F.col("low"), 4))).alias("word"))
     names = registry.select("program_id", F.explode(F.array_distinct(T.tokens(F.col("canonical_name"), 4))).alias("word"))
     shared = rest.join(names, "word").groupBy("id", "program_id").agg(F.count("*").alias("n")).where("n >= 2")
@@ -81,9 +51,18 @@ def enrich(matched: DataFrame, registry: DataFrame) -> DataFrame:
     return matched.join(own, "program_id", "left").withColumn("program_id", F.coalesce("program_id", F.lit("UNMATCHED")))
 
 
+def classify_by(df: DataFrame, keywords: DataFrame, id_col: str, lowered: Column, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """As classify, with keywords (type, word, weight) in a table of any size; of equal types the first by name. Only the
+    words that a text holds are joined to their types."""
+    held = held_terms(df.select(F.col(id_col).alias("id"), lowered.alias("low")), F.col("low"), keywords.select("word"), "held", block_terms).select("id", "held")
+    scores = held.select("id", F.explode("held").alias("word")).join(keywords, "word").groupBy("id", "type").agg(F.sum(F.col("weight").cast("double")).alias("score"))
+    best = scores.groupBy("id").agg(F.min_by("type", F.struct(-F.col("score"), "type")).alias("type"), F.max("score").alias("score"))
+    return df.select(F.col(id_col).alias("id")).join(best, "id", "left").fillna(0.0, ["score"])
+
+
 def classify(df: DataFrame, keywords: list[tuple[str, str, float]], id_col: str, lowered: Column) -> DataFrame:
-    """id, type, score: the type whose held keywords (type, keyword, weight) weigh most; of equals the first in the
-    list; null and 0 if none is held. One expression a type, no rows multiplied."""
+    """id, type, score: the type whose held keywords (type, keyword, weight; a fixed list) weigh most; of equals the
+    first in the list; null and 0 if none is held. One expression a type, no rows multiplied."""
     types = list(dict.fromkeys(t for t, _, _ in keywords))
     low = df.select(F.col(id_col).alias("id"), lowered.alias("low"))
     scores = []
@@ -97,24 +76,17 @@ def classify(df: DataFrame, keywords: list[tuple[str, str, float]], id_col: str,
     return low.select("id", best.alias("b")).select("id", F.when(F.col("b.score") > 0, F.col("b.type")).alias("type"), F.col("b.score").alias("score"))
 
 
-def exact_then_contained(df: DataFrame, aliases: DataFrame, id_col: str, name: Column) -> DataFrame:
+def exact_then_contained(df: DataFrame, aliases: DataFrame, id_col: str, name: Column, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """id, program_id: the alias that equals the normalised name, else the first alias that holds it or is held by it.
-    An equality join for the first, the dictionary as literals for what it leaves over; an empty name matches nothing."""
+    An equality join for the first; an empty name matches nothing."""
     named = df.select(F.col(id_col).alias("id"), T.normalize_name(name).alias("name"))
-    exact = named.join(aliases.select(F.col("alias").alias("name"), F.col("program_id").alias("equal")), "name", "left")
-    out = _first([(F.col("name").contains(a) | F.lit(a).contains(F.col("name")), F.lit(p)) for _, a, p in sorted(dictionary(aliases, "ord", "alias", "program_id"))])
-    return exact.select("id", "name", F.when(F.col("name") != "", F.coalesce("equal", out)).alias("program_id"))
-
+    exact = first_contained(named, F.col("name"), aliases, block_terms).join(aliases.select(F.col("alias").alias("name"), F.col("program_id").alias("equal")), "name", "left")
+    return exact.select("id", "name", F.when(F.col("name") != "", F.coalesce("equal", "p")).alias("program_id"))
 
-def first_named(df: DataFrame, names: DataFrame, id_col: str, text: Column, most: int = MOST_TERMS) -> DataFrame:
-    """id, name: the first name in alphabetical order that the text holds, in any case; rows without are left out.
 
-    Up to `most` names are literals over one lowered text. More are joined: the planner broadcasts them if they are
-    small, the first hits are kept before the shuffle."""
+def first_named(df: DataFrame, names: DataFrame, id_col: str, text: Column, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """id, name: the first name in alphabetical order that the text holds, in any case; rows without are left out."""
     low = df.select(F.col(id_col).alias("id"), F.lower(text).alias("low")).where("low is not null")
-    few = [r[0] for r in names.select("name").distinct().orderBy("name").limit(most + 1).collect()]
-    if len(few) <= most:
-        out = _first([(F.col("low").contains(n.strip().lower()), F.lit(n)) for n in few])
-        return low.select("id", out.alias("name")).where("name is not null")
-    hits = low.join(names.select("name").distinct(), F.col("low").contains(F.trim(F.lower("name"))))
-    return hits.groupBy("id").agg(F.min("name").alias("name"))
+    by_term = names.groupBy(F.trim(F.lower("name")).alias("term")).agg(F.min("name").alias("name")).where("term <> ''")
+    held = held_terms(low, F.col("low"), by_term.select("term"), "held", block_terms).select("id", F.explode("held").alias("term"))
+    return held.join(by_term, "term").groupBy("id").agg(F.min("name").alias("name"))

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.matching import dictionary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,15 +31,14 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def aliases(self) -> list[str]:
-        """Aliases of programs and other spellings of categories, in lower case, in alphabetical order."""
+    def aliases(self) -> DataFrame:
+        """alias: aliases of programs and other spellings of categories, in lower case."""
         both = self.program_registry.select(F.explode("county_aliases").alias("a")).union(self.category_list.select(F.explode("also_written").alias("a")))
-        return [r[0] for r in dictionary(both.select(F.trim(F.lower("a")).alias("alias")).distinct().orderBy("alias"), "alias")]
+        return both.select(F.trim(F.lower("a")).alias("alias")).distinct()
 
-    def keywords(self) -> list[str]:
-        """Other spellings of categories, in lower case, in alphabetical order."""
-        rows = self.category_list.select(F.explode("also_written").alias("w")).select(F.trim(F.lower("w")).alias("word")).distinct().orderBy("word")
-        return [r[0] for r in dictionary(rows, "word")]
+    def keywords(self) -> DataFrame:
+        """word: other spellings of categories, in lower case."""
+        return self.category_list.select(F.explode("also_written").alias("w")).select(F.trim(F.lower("w")).alias("word")).distinct()
 
 
 ALIAS_SQL = "alias AS (SELECT DISTINCT trim(lower(a)) AS alias FROM (SELECT unnest(county_aliases) AS a FROM program_registry UNION ALL SELECT unnest(also_written) FROM category_list))"

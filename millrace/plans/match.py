@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions import text as T
 from millrace.operators import matching as M
 from millrace.operators import tfidf as I
+from millrace.operators.terms import held_terms
 from millrace.plans.base import Tables, collapse_sql, name_sql, query
 from millrace.runtime import spread, stage
 
@@ -36,9 +36,8 @@ def jon5_match_registry(spark, folder):
 @query(f"WITH {_ALIAS_DIM} SELECT record_id, string_agg(alias, '|' ORDER BY alias) AS aliases FROM structured_programs JOIN ad ON contains({_TEXT}, alias) GROUP BY 1")
 def jon1_alias_scan(spark, folder):
     t = Tables(spark, folder)
-    terms = sorted(r[0] for r in M.dictionary(M.alias_dimension(t.program_registry), "alias"))
     low = t.structured_programs.select("record_id", F.lower(F.concat_ws(" ", "program_name", "program_description")).alias("low"))
-    return low.select("record_id", F.array_join(T.held(F.col("low"), terms), "|").alias("aliases")).where("aliases <> ''")
+    return held_terms(low, F.col("low"), M.alias_dimension(t.program_registry).select("alias")).select("record_id", F.array_join("held", "|").alias("aliases")).where("aliases <> ''")
 
 
 @query(f"""WITH {_ALIAS_DIM}, p AS (SELECT record_id, {name_sql('program_name')} AS name FROM structured_programs), e AS (SELECT p.*, ad.program_id AS equal FROM p LEFT JOIN ad ON ad.alias = name),
@@ -63,10 +62,9 @@ _CLASSIFY = f"""k AS (SELECT category_id, unnest(also_written) AS w FROM categor
 def prj6_classified(spark, folder):
     """Categories by their keywords, each weighing its words; PRJ8 is the same with other weights."""
     t = Tables(spark, folder)
-    rows = M.dictionary(t.category_list.orderBy("category_id"), "category_id", "also_written")
-    words = [(c, w.strip().lower(), len(w.split())) for c, ws in rows for w in ws]
+    words = t.category_list.select(F.col("category_id").alias("type"), F.explode("also_written").alias("w")).select("type", F.trim(F.lower("w")).alias("word"), F.size(F.split(F.trim("w"), " ")).alias("weight"))
     low = F.lower(F.concat_ws(" ", "program_name", "program_description"))
-    return M.classify(t.structured_programs, words, "record_id", low).select(F.col("id").alias("record_id"), "type", "score")
+    return M.classify_by(t.structured_programs, words, "record_id", low).select(F.col("id").alias("record_id"), "type", "score")
 
 
 @query("""WITH k AS (SELECT category_id, trim(lower(category_name)) AS w, 8.0 AS weight FROM category_list UNION ALL SELECT category_id, trim(lower(unnest(also_written))), 7.0 FROM category_list),
@@ -75,10 +73,9 @@ def prj6_classified(spark, folder):
     SELECT record_id, coalesce(type, 'Other') AS type, least(1.0, greatest(0.0, CASE WHEN type IS NULL THEN 0.3 ELSE 0.65 END))::DOUBLE AS confidence FROM p LEFT JOIN b USING (record_id)""")
 def prj8_fallback_classified(spark, folder):
     t = Tables(spark, folder)
-    words = []
-    for c, name, others in M.dictionary(t.category_list.orderBy("category_id"), "category_id", "category_name", "also_written"):
-        words += [(c, name.strip().lower(), 8.0), *[(c, w.strip().lower(), 7.0) for w in others]]
-    out = M.classify(t.structured_programs, words, "record_id", F.lower(F.coalesce("program_category", F.lit(""))))
+    own = t.category_list.select(F.col("category_id").alias("type"), F.trim(F.lower("category_name")).alias("word"), F.lit(8.0).alias("weight"))
+    words = own.unionByName(t.category_list.select(F.col("category_id").alias("type"), F.explode("also_written").alias("w")).select("type", F.trim(F.lower("w")).alias("word"), F.lit(7.0).alias("weight")))
+    out = M.classify_by(t.structured_programs, words, "record_id", F.lower(F.coalesce("program_category", F.lit(""))))
     conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.col("type").isNull(), 0.3).otherwise(0.65)))
     return out.select(F.col("id").alias("record_id"), F.coalesce("type", F.lit("Other")).alias("type"), conf.alias("confidence"))
 

@@ -10,6 +10,7 @@ from millrace.operators import metrics as E
 from millrace.operators import ordering as O
 from millrace.operators.boundary import complete, parse_reply
 from millrace.operators.retrieve import nearest
+from millrace.operators.terms import held_terms
 from millrace.plans.base import ALIAS_SQL, Tables, host_sql, query, sql_list
 
 _KEY = "regexp_replace(regexp_replace(lower({c}), '[?#].*$', ''), '/+$', '')"
@@ -164,9 +165,9 @@ _CHAIN = f"""WITH {ALIAS_SQL}, p AS (SELECT page_id, page_url, trim(lower(coales
 def cmp6_page_chain(spark, folder):
     """The link's gate, the content's gate, duplicates; each page has the stage at which it ended."""
     t = Tables(spark, folder)
-    aliases = t.aliases()
     p = t.raw_pages.select("page_id", F.lower("page_url").alias("u"), F.trim(F.lower(F.coalesce("link_text", F.lit("")))).alias("t"), F.lower(F.coalesce("text", F.lit(""))).alias("low"), T.fingerprint(F.col("text")).alias("fp"))
-    stage = F.when(F.coalesce(~F.col("u").startswith("http"), F.lit(True)) | F.col("t").isin(*G.GENERIC_TEXTS), "link").when(F.length("low") < 200, "short").when(~T.holds_any(F.col("low"), aliases), "no signal").otherwise("kept")
+    p = held_terms(p, F.col("low"), t.aliases())
+    stage = F.when(F.coalesce(~F.col("u").startswith("http"), F.lit(True)) | F.col("t").isin(*G.GENERIC_TEXTS), "link").when(F.length("low") < 200, "short").when(F.size("held") == 0, "no signal").otherwise("kept")
     s = p.select("page_id", "fp", stage.alias("stage"))
     by_fp = s.groupBy("fp", "stage").agg(F.count("*").alias("n"))
     n = by_fp.select(F.when((F.col("stage") == "kept"), F.array(F.struct(F.lit("kept").alias("stage"), F.lit(1).cast("long").alias("n")), F.struct(F.lit("duplicate").alias("stage"), (F.col("n") - 1).alias("n")))).otherwise(F.array(F.struct("stage", "n"))).alias("x"))

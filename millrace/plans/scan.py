@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import gates as G
-from millrace.operators.matching import dictionary
+from millrace.operators.terms import held_terms
 from millrace.runtime import spread
 from millrace.plans.base import ALIAS_SQL, KEYWORD_SQL, Tables, collapse_sql, host_sql, name_sql, parts_sql, path_sql, query, sql_list
 from millrace.sources.files import latest_version
@@ -110,8 +110,11 @@ def _links(spark, folder):
     WHEN EXISTS (SELECT 1 FROM alias WHERE contains(path, replace(alias, ' ', '-')) OR contains(path, replace(alias, ' ', '_'))) THEN 'alias in url path'
     WHEN len(list_filter(string_split({collapse_sql('t')}, ' '), lambda w: w <> '')) >= 4 THEN 'substantive link text' ELSE 'low confidence' END AS reason FROM l)""")
 def prd1_url_gate(spark, folder):
-    g = G.url_gate(F.col("url"), F.col("link_text"), Tables(spark, folder).aliases())
-    return _links(spark, folder).select("result_id", "rank", g.alias("g")).select("result_id", "rank", "g.keep", "g.reason")
+    aliases = Tables(spark, folder).aliases()
+    in_path = aliases.select(F.explode(F.array(*[F.replace("alias", F.lit(" "), F.lit(x)) for x in "-_"])).alias("a"))
+    links = held_terms(_links(spark, folder), F.trim(F.lower(F.coalesce("link_text", F.lit("")))), aliases, "in_text")
+    g = G.url_gate(F.col("url"), F.col("link_text"), (F.col("in_text"), F.col("in_path")))
+    return held_terms(links, T.url_path(F.col("url")), in_path, "in_path").select("result_id", "rank", g.alias("g")).select("result_id", "rank", "g.keep", "g.reason")
 
 
 _SCORE = "(SELECT count(*) FROM alias WHERE contains(low, alias)) + CASE WHEN len(list_filter({ind}, lambda w: contains(low, w))) >= 3 THEN 1 ELSE 0 END"
@@ -121,14 +124,14 @@ _SCORE = "(SELECT count(*) FROM alias WHERE contains(low, alias)) + CASE WHEN le
 def prd2_content_score(spark, folder):
     t = Tables(spark, folder)
     low = spread(t.raw_pages.select("page_id", "text"), "page_id").select("page_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    return low.select("page_id", G.content_score(F.col("low"), t.aliases()).cast("long").alias("score"))
+    return held_terms(low, F.col("low"), t.aliases()).select("page_id", G.content_score(F.col("low"), F.col("held")).cast("long").alias("score"))
 
 
 @query(f"WITH {ALIAS_SQL}, p AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents) SELECT doc_id, {_SCORE.format(ind=sql_list(G.FEWER_INDICATORS))} AS score FROM p")
 def prd3_document_score(spark, folder):
     t = Tables(spark, folder)
     low = spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    return low.select("doc_id", G.content_score(F.col("low"), t.aliases(), G.FEWER_INDICATORS).cast("long").alias("score"))
+    return held_terms(low, F.col("low"), t.aliases()).select("doc_id", G.content_score(F.col("low"), F.col("held"), G.FEWER_INDICATORS).cast("long").alias("score"))
 
 
 @query(f"""WITH {ALIAS_SQL}, p AS (SELECT page_id, lower(coalesce(text, '')) AS low FROM raw_pages), s AS (SELECT page_id, low, CASE WHEN length(low) >= 200 THEN {_SCORE.format(ind=sql_list(G.INDICATORS))} ELSE 0 END AS score FROM p)
@@ -149,8 +152,9 @@ _EXCLUDED = ["parks", "elections", "animal", "permit", "transit", "library"]
     - CASE WHEN len(list_filter({sql_list(_EXCLUDED)}, lambda h: contains(b, h))) > 0 AND hits = 0 THEN 3.0 ELSE 0 END END::DOUBLE, 6) AS score FROM k""")
 def prd5_link_score(spark, folder):
     t = Tables(spark, folder)
-    s = G.link_score(F.col("url"), F.col("link_text"), t.aliases(), t.keywords(), _EXCLUDED)
-    return _links(spark, folder).select("result_id", "rank", F.round(s, 6).alias("score"))
+    s = G.link_score(F.col("url"), F.col("link_text"), F.col("aliases"), F.col("words"), _EXCLUDED)
+    both = F.lower(F.concat_ws(" ", F.coalesce("link_text", F.lit("")), F.coalesce("url", F.lit(""))))
+    return held_terms(held_terms(_links(spark, folder), both, t.aliases(), "aliases"), both, t.keywords(), "words").select("result_id", "rank", F.round(s, 6).alias("score"))
 
 
 @query(f"SELECT result_id, rank, len(list_filter({sql_list(G.BASIC_KEYWORDS)}, lambda k: contains(lower(coalesce(link_text, '') || ' ' || coalesce(url, '')), k))) > 0 AS hit FROM {_LINKS}")
@@ -169,9 +173,9 @@ def prd7_same_domain(spark, folder):
 def prd8_topic_flags(spark, folder):
     t = Tables(spark, folder)
     low = t.structured_programs.select("record_id", F.lower(F.concat_ws(" ", "program_name", "program_description")).alias("low"))
-    words = t.keywords()
+    words = F.col("held")
     topic = T.holds_any(F.col("low"), words)
-    return low.select("record_id", topic.alias("maternal"), (~topic & T.holds_any(F.col("low"), _EXCLUDED)).alias("non_maternal"), F.round(G.relevance(F.col("low"), words), 6).alias("relevance"))
+    return held_terms(low, F.col("low"), t.keywords()).select("record_id", topic.alias("maternal"), (~topic & T.holds_any(F.col("low"), _EXCLUDED)).alias("non_maternal"), F.round(G.relevance(F.col("low"), words), 6).alias("relevance"))
 
 
 @query("SELECT record_id, coalesce(trim(lower(eligibility_requirements)) NOT IN ('not found', 'not specified', '', 'none', 'n/a'), false) AS filled FROM structured_programs")
@@ -206,9 +210,10 @@ def prd14_pdf_links(spark, folder):
     AND (list_has_any({parts_sql('url')}, {sql_list(G.GOOD_SEGMENTS)}) OR EXISTS (SELECT 1 FROM alias WHERE contains(lower(coalesce(link_text, '')), alias)))""")
 def prd17_sub_links(spark, folder):
     parts, lits = T.path_parts(F.col("url")), lambda xs: F.array(*map(F.lit, xs))
-    good = F.arrays_overlap(parts, lits(G.GOOD_SEGMENTS)) | T.holds_any(F.lower(F.coalesce("link_text", F.lit(""))), Tables(spark, folder).aliases())
+    text = F.lower(F.coalesce("link_text", F.lit("")))
+    good = F.arrays_overlap(parts, lits(G.GOOD_SEGMENTS)) | T.holds_any(text, F.col("held"))
     own = _links(spark, folder).where((T.url_host(F.col("url")) == T.url_host(F.col("base"))) & ~F.arrays_overlap(parts, lits(G.BAD_SEGMENTS)))
-    return own.where(good).select("result_id", "rank")
+    return held_terms(own, text, Tables(spark, folder).aliases()).where(good).select("result_id", "rank")
 
 
 _CLASS_SQL = f"""(SELECT count(*) FROM keyword WHERE contains(low, word)) * 2.0 + CASE WHEN len(list_filter({sql_list([*G.ELIGIBILITY_WORDS, 'who can'])}, lambda w: contains(low, w))) > 0 THEN 3.0 ELSE 0.0 END
@@ -219,7 +224,7 @@ _CLASS_SQL = f"""(SELECT count(*) FROM keyword WHERE contains(low, word)) * 2.0
 def prd18_classify_pages(spark, folder):
     t = Tables(spark, folder)
     low = spread(t.raw_pages.select("page_id", "text"), "page_id").select("page_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    return low.select("page_id", G.page_class_score(F.col("low"), t.keywords()).alias("score")).withColumn("is_program", F.col("score") >= 5)
+    return held_terms(low, F.col("low"), t.keywords()).select("page_id", G.page_class_score(F.col("low"), F.col("held")).alias("score")).withColumn("is_program", F.col("score") >= 5)
 
 
 @query(f"""WITH p AS (SELECT page_id, lower(coalesce(text, '')) AS low, coalesce(len(contacts.phones), 0) + coalesce(len(contacts.emails), 0) > 0 AS has FROM raw_pages),

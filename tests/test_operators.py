@@ -82,7 +82,7 @@ def test_first_named_is_the_same_joined(spark):
     df = spark.createDataFrame([(1, "in Alpha and Beta"), (2, "BETA only"), (3, "none"), (4, None)], "id int, t string")
     names = spark.createDataFrame([("Beta",), ("Alpha",)], "name string")
     a = sorted(map(tuple, M.first_named(df, names, "id", F.col("t")).collect()))
-    assert a == [(1, "Alpha"), (2, "Beta")] == sorted(map(tuple, M.first_named(df, names, "id", F.col("t"), most=1).collect()))
+    assert a == [(1, "Alpha"), (2, "Beta")] == sorted(map(tuple, M.first_named(df, names, "id", F.col("t"), block_terms=1).collect()))
 
 
 @pytest.mark.parametrize("n, starts", [(0, [0]), (60, [0]), (61, [0]), (90, [0]), (91, [0, 30]), (100, [0, 30])])
