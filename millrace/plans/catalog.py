@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators.gates import INDICATORS, page_gate
-from millrace.plans import discover, evals, match, more, scan  # noqa: F401
+from millrace.plans import discover, evals, match, more, scan, suites  # noqa: F401
 from millrace.plans.base import ALIAS_SQL, QUERIES, SQL, Tables, collapse_sql, sql_list
 from millrace.runtime import spread
 

@@ -154,25 +154,32 @@ def evl2_precision_recall(spark, folder):
 _RANKED = f"(SELECT county_code, {_KEY.format(c='url')} AS k, row_number() OVER (PARTITION BY county_code ORDER BY score DESC NULLS LAST, url NULLS LAST) AS rank FROM (SELECT county_code, unnest(programs).url AS url, unnest(programs).score AS score FROM discovery_results))"
 
 
-def _ranked(spark, folder):
-    t = Tables(spark, folder).discovery_results.select("county_code", F.explode("programs").alias("p")).select("county_code", "p.url", "p.score")
-    w = W.partitionBy("county_code").orderBy(F.col("score").desc_nulls_last(), F.col("url").asc_nulls_last())
-    return t.select("county_code", T.url_key(F.col("url")).alias("k"), F.row_number().over(w).alias("rank"))
+def _ranked(t, most: int = 20):
+    """The first links of each county by score; the planner cuts groups before the shuffle."""
+    own = t.discovery_results.select("county_code", F.explode("programs").alias("p")).select("county_code", "p.url", "p.score")
+    top = O.top_per_group(own, ["county_code"], [F.col("score").desc_nulls_last(), F.col("url").asc_nulls_last()], most)
+    return top.select("county_code", T.url_key(F.col("url")).alias("k"), "rank")
 
 
 @query(f"""WITH g AS (SELECT DISTINCT county_code, {_KEY.format(c='program_website_url')} AS k FROM structured_programs WHERE {_GOLD} AND program_website_url IS NOT NULL), r AS (SELECT county_code, k, min(rank) AS rank FROM {_RANKED} GROUP BY 1, 2)
     SELECT g.county_code, round(count(*) FILTER (WHERE rank <= 10) / count(*)::DOUBLE, 6) AS recall_at_10, round(count(*) FILTER (WHERE rank <= 20) / count(*)::DOUBLE, 6) AS recall_at_20 FROM g LEFT JOIN r ON r.county_code = g.county_code AND r.k = g.k GROUP BY 1""")
 def evl1_recall_at_k(spark, folder):
     gold = Tables(spark, folder).structured_programs.where(_GOLD).where("program_website_url is not null").select("county_code", T.url_key(F.col("program_website_url")).alias("k"))
-    return E.recall_at(gold, _ranked(spark, folder), "county_code", "k", "rank", [10, 20])
+    return E.recall_at(gold, _ranked(Tables(spark, folder)), "county_code", "k", "rank", [10, 20])
 
 
 @query(f"""WITH g AS (SELECT DISTINCT county_code, {_KEY.format(c='program_website_url')} AS k, 1 AS rel FROM structured_programs WHERE program_website_url IS NOT NULL), r AS (SELECT r.county_code, r.rank, coalesce(g.rel, 0) AS rel FROM {_RANKED} r LEFT JOIN g ON g.county_code = r.county_code AND g.k = r.k),
     i AS (SELECT *, row_number() OVER (PARTITION BY county_code ORDER BY rel DESC, rank) AS ideal FROM r), s AS (SELECT county_code, sum(CASE WHEN rank <= 10 THEN rel / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN ideal <= 10 THEN rel / log2(ideal + 1) ELSE 0 END) AS idcg FROM i GROUP BY 1)
     SELECT county_code, round(coalesce(dcg / nullif(idcg, 0), 0), 6) AS ndcg FROM s""")
 def win4_ndcg(spark, folder):
-    gold = Tables(spark, folder).structured_programs.where("program_website_url is not null").select("county_code", T.url_key(F.col("program_website_url")).alias("k")).distinct().withColumn("rel", F.lit(1))
-    return E.ndcg(_ranked(spark, folder).join(gold, ["county_code", "k"], "left").fillna(0, ["rel"]), "county_code", "rank", "rel", 10)
+    """Only the first ten of a county leave its window; the ideal order needs no more than the number of relevant links."""
+    t = Tables(spark, folder)
+    gold = t.structured_programs.where("program_website_url is not null").select("county_code", T.url_key(F.col("program_website_url")).alias("k")).distinct()
+    links = t.discovery_results.select("county_code", F.explode("programs").alias("p")).select("county_code", T.url_key(F.col("p.url")).alias("k"))
+    counts = links.join(gold.withColumn("rel", F.lit(1)), ["county_code", "k"], "left").groupBy("county_code").agg(F.count("rel").alias("n"))
+    gains = _ranked(t, 10).join(gold, ["county_code", "k"], "left_semi").groupBy("county_code").agg(F.sum(1.0 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(10), F.greatest(F.col("n"), F.lit(1))).cast("int")), F.lit(0.0), lambda x, i: x + 1.0 / F.log2(i + 1.0))
+    return counts.join(gains, "county_code", "left").select("county_code", F.round(F.coalesce(F.col("dcg") / ideal, F.lit(0.0)), 6).alias("ndcg"))
 
 
 _SET = "list_distinct(list_filter(string_split({n}, ' '), lambda w: w <> ''))"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
 from millrace.operators import matching as M
 from millrace.operators import tfidf as I
 from millrace.operators.terms import held_terms
@@ -157,7 +158,7 @@ def jon11_window_scan(spark, folder):
 
 
 _EVENTS = f"""{_MATCH}, {_TFIDF}, q AS (SELECT record_id AS id, lower(concat_ws(' ', program_name, program_description)) AS text FROM structured_programs), {_QUERY}, {_BEST},
-    e AS (SELECT p.record_id, p.county_code AS county, p.program_website_url AS url, p.program_name AS name, m.program_id, CASE WHEN b.score >= 0.2 THEN b.doc END AS semantic_match, coalesce(b.score, 0.0) AS semantic_score
+    e AS (SELECT p.record_id, p.county_code AS county, p.program_website_url AS url, p.program_name AS name, p.program_description AS sample, list_filter(list_transform(string_split(coalesce(p.required_documentation, ''), ';'), lambda x: trim(x)), lambda x: x <> '') AS services, m.program_id, CASE WHEN b.score >= 0.2 THEN b.doc END AS semantic_match, coalesce(b.score, 0.0) AS semantic_score
         FROM structured_programs p JOIN m USING (record_id) LEFT JOIN best b ON b.id = p.record_id WHERE p.program_name IS NOT NULL),
     sg AS (SELECT *, CASE WHEN program_id IS NULL THEN 'unmatched_extraction' WHEN semantic_match IS NOT NULL AND semantic_match <> program_id THEN 'llm_alias_disagreement' ELSE 'matched' END AS signal FROM e)"""
 
@@ -166,19 +167,41 @@ def _events(spark, folder):
     t = Tables(spark, folder)
     v, w = I.fit(I.corpus(t.program_registry))
     best = I.best_match(I.vectors(I.term_counts(t.structured_programs, "record_id", F.concat_ws(" ", "program_name", "program_description"), w), w), v)
-    own = t.structured_programs.where("program_name is not null").select(F.col("record_id").alias("id"), F.col("county_code").alias("county"), F.col("program_website_url").alias("url"), F.col("program_name").alias("name"))
+    own = t.structured_programs.where("program_name is not null").select(F.col("record_id").alias("id"), F.col("county_code").alias("county"), F.col("program_website_url").alias("url"), F.col("program_name").alias("name"), F.col("program_description").alias("sample"), T.services(F.coalesce("required_documentation", F.lit(""))).alias("services"))
     joined = own.join(_matched(spark, folder).select("id", "program_id"), "id").join(best.select("id", F.col("program_id").alias("semantic_match"), F.col("score").alias("semantic_score")), "id", "left")
     return stage(joined.withColumn("semantic_score", F.coalesce("semantic_score", F.lit(0.0))).withColumn("ord", F.col("id")), "events")
 
 
-@query(f"""WITH {_EVENTS}, g AS (SELECT {name_sql('name')} AS norm_name, arg_min(name, record_id) AS extracted_name, count(DISTINCT county) AS n_counties, count(*) AS frequency, max(semantic_score) AS semantic_score,
-    count(*) FILTER (WHERE signal = 'unmatched_extraction') AS nu FROM sg WHERE signal <> 'matched' GROUP BY 1)
-    SELECT norm_name, extracted_name, n_counties, frequency, semantic_score, CASE WHEN nu * 2 >= frequency THEN 'unmatched_extraction' ELSE 'llm_alias_disagreement' END AS signal_type,
-    CASE WHEN semantic_score >= 0.65 THEN 'likely alias' WHEN semantic_score >= 0.4 THEN 'possible variant' ELSE 'new program' END AS label,
-    round(least(n_counties / greatest((SELECT count(DISTINCT county) FROM e), 1)::DOUBLE, 1.0) * 0.4 + least(ln(1.0 + frequency) / ln(21.0), 1.0) * 0.3 + (1.0 - least(semantic_score, 1.0)) * 0.3, 6) AS gap_score FROM g""")
+_GAPS = f"""{_EVENTS}, gp AS (SELECT *, {name_sql('name')} AS norm_name FROM sg WHERE signal <> 'matched'),
+    g AS (SELECT norm_name, arg_min(name, record_id) AS extracted_name, count(DISTINCT county) AS n_counties, count(*) AS frequency, max(semantic_score) AS semantic_score, arg_min(sample, record_id) FILTER (WHERE trim(sample) <> '') AS sample_text,
+        count(*) FILTER (WHERE signal = 'unmatched_extraction') AS nu, arg_min(signal, record_id) AS first_signal FROM gp GROUP BY 1),
+    sm AS (SELECT norm_name, semantic_match FROM (SELECT *, row_number() OVER (PARTITION BY norm_name ORDER BY semantic_score DESC, record_id) AS rn FROM gp) WHERE rn = 1),
+    us AS (SELECT norm_name, string_agg(url, '|' ORDER BY url) AS source_urls FROM (SELECT norm_name, url, row_number() OVER (PARTITION BY norm_name ORDER BY url) AS rn FROM (SELECT DISTINCT norm_name, url FROM gp WHERE url IS NOT NULL)) WHERE rn <= 5 GROUP BY 1),
+    se AS (SELECT norm_name, service, min(record_id * 1000 + pos) AS o FROM (SELECT norm_name, record_id, unnest(services) AS service, unnest(range(0, len(services))) AS pos FROM gp) GROUP BY 1, 2),
+    sv AS (SELECT norm_name, string_agg(service, '|' ORDER BY o, service) AS services FROM (SELECT *, row_number() OVER (PARTITION BY norm_name ORDER BY o, service) AS rn FROM se) WHERE rn <= 6 GROUP BY 1),
+    gr AS (SELECT norm_name, extracted_name, n_counties, frequency, semantic_match, semantic_score, sample_text, coalesce(source_urls, '') AS source_urls, coalesce(services, '') AS services,
+        CASE WHEN nu * 2 = frequency THEN first_signal WHEN nu * 2 > frequency THEN 'unmatched_extraction' ELSE 'llm_alias_disagreement' END AS signal_type,
+        CASE WHEN semantic_score >= 0.65 THEN 'likely alias' WHEN semantic_score >= 0.4 THEN 'possible variant' ELSE 'new program' END AS label,
+        round(least(n_counties / greatest((SELECT count(DISTINCT county) FROM e), 1)::DOUBLE, 1.0) * 0.4 + least(ln(1.0 + frequency) / ln(21.0), 1.0) * 0.3 + (1.0 - least(semantic_score, 1.0)) * 0.3, 6) AS gap_score
+        FROM g JOIN sm USING (norm_name) LEFT JOIN us USING (norm_name) LEFT JOIN sv USING (norm_name))"""
+
+
+def _gaps(spark, folder):
+    return I.gap_candidates(_events(spark, folder)).withColumns({"source_urls": F.array_join("source_urls", "|"), "services": F.array_join("services", "|")})
+
+
+@query(f"WITH {_GAPS} SELECT * FROM gr")
 def evl11_gap_report(spark, folder):
-    """AGG9, AGG10 and PRJ16: candidates for new programs, scored."""
-    return I.gap_candidates(_events(spark, folder)).drop("semantic_match", "source_urls")
+    """AGG9, AGG10 and PRJ16: candidates for new programs, scored, with all that is known of them."""
+    return _gaps(spark, folder)
+
+
+@query(f"WITH {_GAPS} SELECT * FROM (SELECT row_number() OVER (ORDER BY gap_score DESC, norm_name) AS rank, norm_name, extracted_name, signal_type, label, gap_score FROM gr) WHERE rank <= 10")
+def top2_gap_candidates(spark, folder):
+    """TOP2: the ten candidates with the greatest scores."""
+    top = _gaps(spark, folder).select("norm_name", "extracted_name", "signal_type", "label", "gap_score").orderBy(F.col("gap_score").desc(), "norm_name").limit(10)
+    rows = top.groupBy().agg(F.array_sort(F.collect_list(F.struct(-F.col("gap_score"), "norm_name", "extracted_name", "signal_type", "label", "gap_score"))).alias("r"))
+    return rows.select(F.posexplode("r").alias("pos", "r")).select((F.col("pos") + 1).cast("long").alias("rank"), "r.norm_name", "r.extracted_name", "r.signal_type", "r.label", "r.gap_score")
 
 
 @query(f"WITH {_EVENTS} SELECT count(DISTINCT county) AS counties, count(*) AS extractions, count(*) FILTER (WHERE signal = 'matched') AS matched, round(count(*) FILTER (WHERE signal <> 'matched') / count(*)::DOUBLE, 6) AS unmatched_rate FROM sg")
@@ -188,7 +211,36 @@ def agg4_match_rate(spark, folder):
     return e.agg(F.countDistinct("county").alias("counties"), F.count("*").alias("extractions"), F.count_if(signal).alias("matched"), F.round(F.count_if(~signal) / F.count("*"), 6).alias("unmatched_rate"))
 
 
-@query(f"WITH {_EVENTS} SELECT semantic_match AS program_id, string_agg(DISTINCT name, '|' ORDER BY name) AS names FROM sg WHERE signal <> 'matched' AND semantic_match IS NOT NULL AND semantic_score >= 0.4 GROUP BY 1")
+@query(f"WITH {_EVENTS} SELECT semantic_match AS program_id, string_agg(DISTINCT name, '|' ORDER BY name) AS names FROM sg WHERE signal <> 'matched' AND semantic_match IS NOT NULL AND semantic_score >= 0.65 GROUP BY 1")
 def agg12_alias_suggestions(spark, folder):
-    e = _events(spark, folder).where("(program_id is null or semantic_match <> program_id) and semantic_match is not null and semantic_score >= 0.4")
+    e = _events(spark, folder).where("(program_id is null or semantic_match <> program_id) and semantic_match is not null and semantic_score >= 0.65")
     return e.groupBy(F.col("semantic_match").alias("program_id")).agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("names"))
+
+
+_PAGE_WINDOWS = f"pw AS (SELECT page_id, list_filter(string_split({collapse_sql('lower(text)')}, ' '), lambda x: x <> '') AS w FROM raw_pages WHERE text IS NOT NULL), ps AS (SELECT page_id, w, unnest(range(0, greatest(1, len(w) - 60), 30)) AS start FROM pw)"
+_ABSENT = f"""{_MATCH}, ab AS (SELECT program_id FROM program_registry WHERE program_id NOT IN (SELECT program_id FROM m JOIN structured_programs USING (record_id) WHERE confidence = 1 AND source_system = 'phase2_enhanced' AND data_version = 'v5' AND program_id IS NOT NULL)),
+    {_TFIDF}, {_PAGE_WINDOWS}, q AS (SELECT page_id || '#' || start AS id, array_to_string(w[start + 1:start + 60], ' ') AS text FROM ps), {_QUERY},
+    sc AS (SELECT split_part(id, '#', 1)::BIGINT AS page_id, doc_id AS program_id, max(score) AS score FROM sim WHERE doc_id IN (SELECT program_id FROM ab) GROUP BY 1, 2 HAVING max(score) >= 0.2)"""
+
+
+def _absence_signals(spark, folder):
+    """JON11, JON13: pages that read like a program which the last version of one source never names by an alias."""
+    t = Tables(spark, folder)
+    sure = _matched(spark, folder).where("confidence = 1 and program_id is not null").select(F.col("id").alias("record_id"), "program_id")
+    named = t.structured_programs.where("source_system = 'phase2_enhanced' and data_version = 'v5'").select("record_id").join(sure, "record_id").select("program_id")
+    absent = t.program_registry.select("program_id").join(named, "program_id", "left_anti")
+    v, w = I.fit(I.corpus(t.program_registry))
+    return I.scan_windows(spread(t.raw_pages.select("page_id", "text").where("text is not null"), "page_id"), absent, v, w, "page_id", F.col("text"), 0.2).select(F.col("id").alias("page_id"), "program_id", "score")
+
+
+@query(f"WITH {_ABSENT} SELECT page_id, program_id, score FROM sc")
+def jon11_absent_programs(spark, folder):
+    """JON11: windows of pages scanned for the absent programs only."""
+    return _absence_signals(spark, folder)
+
+
+@query(f"WITH {_ABSENT} SELECT program_id, pages, counties FROM (SELECT *, row_number() OVER (ORDER BY pages DESC, program_id) AS rn FROM (SELECT program_id, count(*) AS pages, count(DISTINCT county) AS counties FROM sc JOIN raw_pages USING (page_id) GROUP BY 1)) WHERE rn <= 5")
+def agg11_absence_by_program(spark, folder):
+    """AGG11: the five absent programs with most pages that read like them."""
+    pages = Tables(spark, folder).raw_pages.select("page_id", "county")
+    return _absence_signals(spark, folder).join(pages, "page_id").groupBy("program_id").agg(F.count("*").alias("pages"), F.countDistinct("county").alias("counties")).orderBy(F.col("pages").desc(), "program_id").limit(5)
