@@ -115,6 +115,37 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def zip_code(c: Column) -> Column:
+    """The five digits of a text that is a ZIP code, with or without its four digits; else null."""
+    return F.nullif(F.regexp_extract(F.trim(c), r"^(\d{5})(?:-\d{4})?$", 1), F.lit(""))
+
+
+def agent_text(c: Column, most: int = 5000) -> Column:
+    """White space collapsed, at most so many characters."""
+    return F.substring(collapse(c), 1, most)
+
+
+def agent_emails(c: Column, most: int = 5) -> Column:
+    """The first of the e-mail addresses between word boundaries, in order (pattern: fixed value, its stray | included)."""
+    return F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b)"), F.lit(1)))), 1, most)
+
+
+def list_or_scalar(c: Column) -> Column:
+    """A JSON list of texts as an array, any other text as an array of itself; null and blank texts as an empty one."""
+    listed = F.from_json(F.when(F.ltrim(c).startswith("["), c), "array<string>")
+    return F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.coalesce(listed, F.array(c)))
+
+
+def clamped(c: Column, low: float = 0.0, high: float = 1.0, default: float = 0.0) -> Column:
+    """A text as a number within bounds; the default if it is none."""
+    return F.least(F.lit(high), F.greatest(F.lit(low), F.coalesce(c.try_cast("double"), F.lit(default))))
+
+
+def run_id(at: Column, commit: str, config: str) -> Column:
+    """Time stamp, commit and eight digits of the configuration's hash."""
+    return F.concat_ws("_", F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(commit[:7]), F.substring(F.md5(F.lit(config).cast("binary")), 1, 8))
+
+
 def services(c: Column) -> Column:
     """The parts of a list written with semicolons, trimmed, without blanks."""
     return F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")

@@ -120,6 +120,23 @@ def is_gov(url: Column) -> Column:
     return T.url_host(url).rlike(r"\.(gov|us)$")
 
 
+#: Last pieces of paths that are plain words by right (fixed values).
+PLAIN_SLUGS = ["mcah", "mch", "wic", "nursing", "health", "programs", "services", "families", "children", "women", "program", "home", "birth"]
+#: Markers of a firewall's refusal, anywhere in a page (fixed values).
+FIREWALL_MARKERS = ["$(serve_403)", "reference #18."]
+
+
+def is_plain_slug(url: Column) -> Column:
+    """Whether the last piece of a path is a bare word, as of a URL cut off: letters only, four at least, no known one."""
+    last = F.element_at(F.split(F.regexp_replace(T.url_path(url), "/+$", ""), "/"), -1)
+    return last.rlike("^[a-z]{4,}$") & ~last.isin(*PLAIN_SLUGS)
+
+
+def is_refused(text: Column) -> Column:
+    """A firewall's markers anywhere in the text."""
+    return T.holds_any(F.lower(F.coalesce(text, F.lit(""))), FIREWALL_MARKERS)
+
+
 def is_challenge_page(text: Column) -> Column:
     """An interstitial of a firewall: its phrases in the first 500 characters."""
     return T.holds_any(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 500)), ["just a moment", "checking your browser", "not a robot", "access denied", "attention required"])

@@ -68,15 +68,19 @@ def prj6_classified(spark, folder):
     return M.classify_by(t.structured_programs, words, "record_id", low).select(F.col("id").alias("record_id"), "type", "score")
 
 
-@query("""WITH k AS (SELECT category_id, trim(lower(category_name)) AS w, 8.0 AS weight FROM category_list UNION ALL SELECT category_id, trim(lower(unnest(also_written))), 7.0 FROM category_list),
-    p AS (SELECT record_id, lower(program_category) AS low FROM structured_programs), s AS (SELECT record_id, category_id, sum(weight) AS score FROM p JOIN k ON contains(low, w) GROUP BY 1, 2),
+@query("""WITH k AS (SELECT category_id, trim(lower(category_name)) AS w, 8.0 AS weight FROM category_list UNION ALL SELECT category_id, trim(lower(unnest(also_written))), 7.0 FROM category_list
+    UNION ALL SELECT category_id, w, greatest(1, len(string_split(w, ' ')))::DOUBLE FROM (SELECT DISTINCT category_id, trim(lower(unnest(core_services))) AS w FROM program_registry JOIN category_list ON category = category_name)),
+    p AS (SELECT record_id, lower(concat_ws('. ', program_name, program_category, program_description)) AS low FROM structured_programs), s AS (SELECT record_id, category_id, sum(weight) AS score FROM p JOIN k ON contains(low, w) GROUP BY 1, 2),
     b AS (SELECT record_id, arg_min(category_id, lpad((1000 - score)::BIGINT::VARCHAR, 5, '0') || category_id) AS type, max(score) AS score FROM s GROUP BY 1)
     SELECT record_id, coalesce(type, 'Other') AS type, least(1.0, greatest(0.0, CASE WHEN type IS NULL THEN 0.3 ELSE 0.65 END))::DOUBLE AS confidence FROM p LEFT JOIN b USING (record_id)""")
 def prj8_fallback_classified(spark, folder):
+    """Eight for a category's name, seven for an example, a keyword's number of words for a keyword."""
     t = Tables(spark, folder)
     own = t.category_list.select(F.col("category_id").alias("type"), F.trim(F.lower("category_name")).alias("word"), F.lit(8.0).alias("weight"))
     words = own.unionByName(t.category_list.select(F.col("category_id").alias("type"), F.explode("also_written").alias("w")).select("type", F.trim(F.lower("w")).alias("word"), F.lit(7.0).alias("weight")))
-    out = M.classify_by(t.structured_programs, words, "record_id", F.lower(F.coalesce("program_category", F.lit(""))))
+    services = t.program_registry.join(t.category_list, F.col("category") == F.col("category_name")).select(F.col("category_id").alias("type"), F.explode("core_services").alias("w"))
+    services = services.select("type", F.trim(F.lower("w")).alias("word")).distinct().withColumn("weight", F.greatest(F.lit(1), F.size(F.split("word", " "))).cast("double"))
+    out = M.classify_by(t.structured_programs, words.unionByName(services), "record_id", F.lower(F.concat_ws(". ", "program_name", "program_category", "program_description")))
     conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.col("type").isNull(), 0.3).otherwise(0.65)))
     return out.select(F.col("id").alias("record_id"), F.coalesce("type", F.lit("Other")).alias("type"), conf.alias("confidence"))
 

@@ -184,12 +184,12 @@ def cmp16_with_errors(spark, folder):
 
 
 @query("""WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS n, round(list_cosine_similarity(q.v, e.embedding::DOUBLE[]), 9) AS sim FROM q, embeddings e WHERE e.vec_id <> q.vec_id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, n) AS rank FROM s) SELECT query_id, string_agg('[' || rank || '] ' || substr(coalesce(d.text, ''), 1, 200), chr(10) ORDER BY rank) AS context FROM r LEFT JOIN documents d ON d.doc_id = r.n WHERE rank <= 10 GROUP BY 1""")
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, n) AS rank FROM s) SELECT query_id, string_agg('[' || rank || '] ' || coalesce(d.text, ''), chr(10) ORDER BY rank) AS context FROM r LEFT JOIN documents d ON d.doc_id = r.n WHERE rank <= 10 GROUP BY 1""")
 def cmp14_context(spark, folder):
-    """The texts of the nearest ten put together as a context."""
+    """The whole texts of the nearest ten put together as a context."""
     t = Tables(spark, folder)
     near = nearest(t.embeddings.where("vec_id % 50 = 0"), t.embeddings, 10)
-    docs = t.documents.select(F.col("doc_id").alias("neighbour_id"), F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("t"))
+    docs = t.documents.select(F.col("doc_id").alias("neighbour_id"), F.coalesce("text", F.lit("")).alias("t"))
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce("t", F.lit("")))
     rows = near.join(docs, "neighbour_id", "left").select("query_id", "rank", line.alias("line"))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("context"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import gates as G
+from millrace.operators.collections import collection_name, county_of_collection, recursive_chunks, run_states
+from millrace.operators.links import county_domain
 from millrace.operators.terms import held_terms
 from millrace.runtime import spread
 from millrace.plans.base import ALIAS_SQL, KEYWORD_SQL, Tables, collapse_sql, host_sql, name_sql, parts_sql, path_sql, query, sql_list
@@ -195,6 +197,12 @@ def prd12_displayable(spark, folder):
     return Tables(spark, folder).structured_programs.select("record_id", show("program_name", ["not found", "n/a", ""]).alias("show_name"), show("program_description", ["not specified", "not found", ""]).alias("show_body"))
 
 
+@query("SELECT page_id, contains(lower(text), '$(serve_403)') OR contains(lower(text), 'reference #18.') AS refused FROM raw_pages WHERE text IS NOT NULL")
+def prd13_refused_pages(spark, folder):
+    """The two markers of a firewall anywhere."""
+    return Tables(spark, folder).raw_pages.where("text is not null").select("page_id", G.is_refused(F.col("text")).alias("refused"))
+
+
 @query("SELECT page_id, len(list_filter(['just a moment', 'checking your browser', 'not a robot', 'access denied', 'attention required'], lambda w: contains(lower(substr(coalesce(text, ''), 1, 500)), w))) > 0 AS challenge FROM raw_pages")
 def prd13_challenge_pages(spark, folder):
     return Tables(spark, folder).raw_pages.select("page_id", G.is_challenge_page(F.col("text")).alias("challenge"))
@@ -247,10 +255,9 @@ def prd20_tiered_score(spark, folder):
     return _links(spark, folder).where("url is not null").select("result_id", "rank", F.round(G.tiered_link_score(F.col("url"), F.col("link_text"), F.col("base"), _TIERS), 6).alias("score"))
 
 
-@query(f"SELECT page_id, regexp_matches(list_extract(string_split(regexp_replace({path_sql('page_url')}, '/+$', ''), '/'), -1), '^[a-z]{{4,}}$') AS plain FROM raw_pages")
+@query(f"SELECT page_id, regexp_matches(list_extract(string_split(regexp_replace({path_sql('page_url')}, '/+$', ''), '/'), -1), '^[a-z]{{4,}}$') AND list_extract(string_split(regexp_replace({path_sql('page_url')}, '/+$', ''), '/'), -1) NOT IN (SELECT unnest({sql_list(G.PLAIN_SLUGS)})) AS plain FROM raw_pages")
 def prd21_plain_slugs(spark, folder):
-    last = F.element_at(F.split(F.regexp_replace(T.url_path(F.col("page_url")), "/+$", ""), "/"), -1)
-    return Tables(spark, folder).raw_pages.select("page_id", last.rlike("^[a-z]{4,}$").alias("plain"))
+    return Tables(spark, folder).raw_pages.select("page_id", G.is_plain_slug(F.col("page_url")).alias("plain"))
 
 
 @query("""SELECT record_id, CASE WHEN trim(coalesce(program_category, '')) = '' THEN 'Other' ELSE program_category END AS category,
@@ -278,6 +285,13 @@ def prd24_applicable(spark, folder):
     return t.select("program_id", "tier", F.coalesce("state_specific", F.lit("all")).alias("state"))
 
 
+@query("SELECT program_id, tier = 1 AS first_tier, category = 'Food & Nutrition Aid' AS food, blueprint_goal = 3 AS goal, federal_agency LIKE 'Office%' AS office, federal_source_url IS NOT NULL AS federal FROM program_registry WHERE tier IN (1, 2)")
+def prd24_filters(spark, folder):
+    """Filters of a registry by tier, category, goal, agency and source."""
+    t = Tables(spark, folder).program_registry.where(F.col("tier").isin(1, 2))
+    return t.select("program_id", (F.col("tier") == 1).alias("first_tier"), (F.col("category") == "Food & Nutrition Aid").alias("food"), (F.col("blueprint_goal") == 3).alias("goal"), F.col("federal_agency").startswith("Office").alias("office"), F.col("federal_source_url").isNotNull().alias("federal"))
+
+
 @query("SELECT doc_id FROM documents WHERE length(trim(text)) >= 80")
 def prd25_long_enough(spark, folder):
     return Tables(spark, folder).documents.where(F.length(F.trim("text")) >= 80).select("doc_id")
@@ -335,9 +349,9 @@ def prj12_prompts(spark, folder):
     return Tables(spark, folder).raw_pages.select("page_id", c.alias("prompt"))
 
 
-@query("SELECT tier, string_agg(program_id || ': ' || canonical_name || ' (' || array_to_string(county_aliases[1:4], ', ') || ')', chr(10) ORDER BY program_id) AS block FROM program_registry GROUP BY tier")
+@query("SELECT tier, string_agg(program_id || ': ' || canonical_name || ' (' || array_to_string(county_aliases[1:4], ', ') || ') ' || substr(coalesce(target_population, ''), 1, 80), chr(10) ORDER BY program_id) AS block FROM program_registry GROUP BY tier")
 def prj13_registry_text(spark, folder):
-    line = F.concat(F.col("program_id"), F.lit(": "), F.col("canonical_name"), F.lit(" ("), F.array_join(F.slice("county_aliases", 1, 4), ", "), F.lit(")"))
+    line = F.concat(F.col("program_id"), F.lit(": "), F.col("canonical_name"), F.lit(" ("), F.array_join(F.slice("county_aliases", 1, 4), ", "), F.lit(") "), F.substring(F.coalesce("target_population", F.lit("")), 1, 80))
     own = Tables(spark, folder).program_registry.select("tier", "program_id", line.alias("line"))
     return own.groupBy("tier").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("program_id", "line"))), lambda x: x["line"]), "\n").alias("block"))
 
@@ -347,22 +361,50 @@ def prj14_examples(spark, folder):
     return Tables(spark, folder).program_registry.groupBy("category").agg(F.min_by("canonical_name", "program_id").alias("example"))
 
 
-@query("""WITH r AS (SELECT program_uid, county_code, min(record_id) AS record_id FROM structured_programs GROUP BY 1, 2), n AS (SELECT r.county_code, p.program_name, p.program_description, row_number() OVER (PARTITION BY r.county_code ORDER BY r.record_id) AS k FROM r JOIN structured_programs p USING (record_id))
-    SELECT county_code, string_agg(k || '. ' || coalesce(program_name, '') || chr(10) || substr(coalesce(program_description, ''), 1, 160), chr(10) ORDER BY k) AS list FROM n WHERE k <= 20 GROUP BY county_code""")
-def prj15_program_lists(spark, folder):
-    from millrace.operators.ordering import top_per_group
+_SAID = "coalesce(lower({c}) NOT IN ('not specified', 'not found', ''), false)"
+_BLOCK = "k || '. ' || coalesce(program_name, 'Unnamed program')" + "".join(
+    f" || CASE WHEN {_SAID.format(c=c)} THEN chr(10) || '   {label}' || substr({c}, 1, {n}) || {dots} ELSE '' END"
+    for c, label, n, dots in (("program_description", "", 160, "CASE WHEN length(program_description) > 160 THEN '...' ELSE '' END"), ("eligibility_requirements", "Eligibility: ", 120, "''"), ("application_process", "How to apply: ", 120, "''"), ("program_website_url", "Website: ", 1000, "''"))
+)
+
 
+@query(f"""WITH r AS (SELECT program_uid, county_code, min(record_id) AS record_id FROM structured_programs GROUP BY 1, 2), n AS (SELECT r.county_code, p.*, row_number() OVER (PARTITION BY r.county_code ORDER BY r.record_id) AS k FROM r JOIN structured_programs p USING (record_id))
+    SELECT county_code, string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY k) AS list FROM n GROUP BY county_code""")
+def prj15_program_lists(spark, folder):
+    """All programs of a county as numbered blocks; a list is one text, so a county's first records meet in its row."""
     t = Tables(spark, folder).structured_programs
-    first = t.groupBy("program_uid", "county_code").agg(F.min_by(F.struct("record_id", "program_name", "program_description"), "record_id").alias("r")).select("county_code", "r.*")
-    top = top_per_group(first, ["county_code"], [F.col("record_id")], 20)
-    line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.coalesce("program_name", F.lit("")), F.lit("\n"), F.substring(F.coalesce("program_description", F.lit("")), 1, 160))
-    return top.select("county_code", "rank", line.alias("line")).groupBy("county_code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("list"))
+    fields = ("record_id", "program_name", "program_description", "eligibility_requirements", "application_process", "program_website_url")
+    first = t.groupBy("program_uid", "county_code").agg(F.min_by(F.struct(*fields), "record_id").alias("r")).select("county_code", "r")
+
+    def part(c, label: str, n: int, dots: bool = False):
+        tail = F.when(F.length(c) > n, "...").otherwise("") if dots else F.lit("")
+        return F.when(F.coalesce(~F.lower(c).isin("not specified", "not found", ""), F.lit(False)), F.concat(F.lit("\n   " + label), F.substring(c, 1, n), tail)).otherwise("")
+
+    def block(x, i):
+        head = F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(x["program_name"], F.lit("Unnamed program")))
+        return F.concat(head, part(x["program_description"], "", 160, True), part(x["eligibility_requirements"], "Eligibility: ", 120), part(x["application_process"], "How to apply: ", 120), part(x["program_website_url"], "Website: ", 1000))
 
+    return first.groupBy("county_code").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), block), "\n\n").alias("list"))
 
-@query("SELECT page_id, len(coalesce(registry_signals, [])) AS n_signals, array_to_string(list_sort(coalesce(registry_signals, []))[1:10], '|') AS signals, coalesce(source_depth, 0) AS depth FROM raw_pages")
+
+@query("""SELECT page_id, county, page_url, coalesce(link_text, '') AS link_text, coalesce(program_name_guess, '') AS program_name_guess, coalesce(nav_path, '') AS nav_path, scraped_at, length(text) AS n_chars, len(coalesce(contacts.phones, [])) AS phones, len(coalesce(contacts.emails, [])) AS emails,
+    len(coalesce(pdf_links, [])) AS pdfs, len(coalesce(registry_signals, [])) AS n_signals, array_to_string(list_sort(coalesce(registry_signals, []))[1:10], '|') AS signals, coalesce(source_depth, 0) AS depth, coalesce(scraper_version, '') AS version FROM raw_pages""")
 def prj17_records(spark, folder):
-    s = F.coalesce("registry_signals", F.array().cast("array<string>"))
-    return Tables(spark, folder).raw_pages.select("page_id", F.size(s).cast("long").alias("n_signals"), F.array_join(F.slice(F.array_sort(s), 1, 10), "|").alias("signals"), F.coalesce("source_depth", F.lit(0)).alias("depth"))
+    """The record of a page, with ten signals at most."""
+    none = F.array().cast("array<string>")
+    s, empty = F.coalesce("registry_signals", none), F.lit("")
+    size = lambda c: F.size(F.coalesce(c, none)).cast("long")
+    return Tables(spark, folder).raw_pages.select(
+        "page_id", "county", "page_url", *[F.coalesce(c, empty).alias(c) for c in ("link_text", "program_name_guess", "nav_path")], "scraped_at", F.length("text").cast("long").alias("n_chars"), size("contacts.phones").alias("phones"), size("contacts.emails").alias("emails"),
+        size("pdf_links").alias("pdfs"), F.size(s).cast("long").alias("n_signals"), F.array_join(F.slice(F.array_sort(s), 1, 10), "|").alias("signals"), F.coalesce("source_depth", F.lit(0)).alias("depth"), F.coalesce("scraper_version", empty).alias("version"),
+    )
+
+
+@query(f"""SELECT page_id, substr({collapse_sql('text')}, 1, 5000) AS text, array_to_string(list_sort(list_distinct(regexp_extract_all(substr({collapse_sql('text')}, 1, 5000), '\\(?[0-9]{{3}}\\)?[-. ]?[0-9]{{3}}[-. ]?[0-9]{{4}}')))[1:5], '|') AS phones FROM raw_pages WHERE text IS NOT NULL""")
+def prj4_agent_pages(spark, folder):
+    """PRJ4: the text that an agent reads: collapsed, 5,000 characters (its definition), five contacts."""
+    own = Tables(spark, folder).raw_pages.where("text is not null").select("page_id", T.agent_text(F.col("text")).alias("text"))
+    return own.select("page_id", "text", F.array_join(F.slice(T.phones(F.col("text")), 1, 5), "|").alias("phones"))
 
 
 @query()
@@ -374,3 +416,79 @@ def prj1_parsed_pages(spark, folder):
     html = F.concat(F.lit("<html><head><title>"), F.coalesce("link_text", F.lit("")), F.lit("</title></head><body><nav>Menu</nav><main><p>"), F.replace(esc, F.lit("\n"), F.lit("</p><p>")), F.lit("</p><a href='/more#top'>More</a></main></body></html>"))
     pages = Tables(spark, folder).raw_pages.where("text is not null").select("page_id", "page_url", html.alias("html"))
     return parse_pages(pages, "page_id", "page_url", "html").select("id", "name", F.length("text").alias("n_chars"), F.array_join("phones", "|").alias("phones"), F.size("links").alias("n_links"))
+
+
+_TITLE = "array_to_string(list_transform(string_split({c}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+
+
+@query(f"SELECT record_id, {_TITLE.format(c="replace(lower(trim(county_name)), '_', ' ')")} AS back, nullif(regexp_replace({host_sql('county_website_url')}, '^www\\.', ''), '') AS domain FROM structured_counties WHERE county_name IS NOT NULL")
+def fn_places(spark, folder):
+    """The county of a collection's name, and the domain of its website."""
+    t = Tables(spark, folder).structured_counties.where("county_name is not null")
+    return t.select("record_id", county_of_collection(collection_name(F.col("county_name"))).alias("back"), county_domain(F.col("county_website_url")).alias("domain"))
+
+
+@query("SELECT page_id, strftime(scraped_at, '%Y%m%d_%H%M%S') || '_abcdef0_' || substr(md5('{\"k\": 10}'), 1, 8) AS run_id, strftime(scraped_at, '%Y-%m-%d') AS day FROM raw_pages WHERE scraped_at IS NOT NULL")
+def fn_run_keys(spark, folder):
+    t = Tables(spark, folder).raw_pages.where("scraped_at is not null")
+    return t.select("page_id", T.run_id(F.col("scraped_at"), "abcdef0123", '{"k": 10}').alias("run_id"), F.date_format("scraped_at", "yyyy-MM-dd").alias("day"))
+
+
+@query("SELECT p.record_id, coalesce(c.category_id, 'none') AS category_id FROM structured_programs p LEFT JOIN category_list c ON c.category_name = p.program_category")
+def fn_map_probe(spark, folder):
+    """A map built of a dimension of fixed size and probed with a default."""
+    t = Tables(spark, folder)
+    built = t.category_list.agg(F.map_from_entries(F.collect_list(F.struct("category_name", "category_id"))).alias("m"))
+    own = t.structured_programs.select("record_id", "program_category").crossJoin(F.broadcast(built))
+    return own.select("record_id", F.coalesce(F.try_element_at("m", F.coalesce("program_category", F.lit(""))), F.lit("none")).alias("category_id"))
+
+
+@query("SELECT result_id, '{\"id\":' || result_id || ',\"tier\":\"' || coalesce(discovery_tier, '') || '\"}' AS doc, coalesce(discovery_tier, '') AS tier FROM discovery_results")
+def fn_json_out(spark, folder):
+    doc = F.to_json(F.struct(F.col("result_id").alias("id"), F.coalesce("discovery_tier", F.lit("")).alias("tier")))
+    return Tables(spark, folder).discovery_results.select("result_id", doc.alias("doc"), F.get_json_object(doc, "$.tier").alias("tier"))
+
+
+@query("SELECT category_id, array_to_string(also_written, '|') AS listed, category_name AS scalar FROM category_list")
+def fn_list_or_scalar(spark, folder):
+    t = Tables(spark, folder).category_list
+    return t.select("category_id", F.array_join(T.list_or_scalar(F.to_json("also_written")), "|").alias("listed"), F.array_join(T.list_or_scalar(F.col("category_name")), "|").alias("scalar"))
+
+
+@query("SELECT record_id, least(1.0, greatest(0.0, coalesce(TRY_CAST(substr(data_version, 2) AS DOUBLE) / 5, 0)))::DOUBLE AS share, coalesce(TRY_CAST(last_updated AS DOUBLE), 0) > 0 AS is_number, nullif(regexp_extract(trim(notes), '^(\\d{5})(?:-\\d{4})?$', 1), '') AS zip FROM structured_programs")
+def fn_numbers(spark, folder):
+    t = Tables(spark, folder).structured_programs
+    return t.select("record_id", T.clamped((F.substring("data_version", 2, 9).try_cast("double") / 5).cast("string")).alias("share"), (F.coalesce(F.col("last_updated").try_cast("double"), F.lit(0.0)) > 0).alias("is_number"), T.zip_code(F.col("notes")).alias("zip"))
+
+
+_FINAL = "CASE WHEN coalesce(NOT starts_with(lower(page_url), 'http'), true) THEN 'failed' WHEN coalesce(length(text), 0) < 200 THEN 'failed' WHEN contacts IS NULL THEN 'partial' ELSE 'done' END"
+
+
+@query(f"SELECT page_id, {_FINAL} AS state, CASE WHEN coalesce(NOT starts_with(lower(page_url), 'http'), true) THEN 1 WHEN coalesce(length(text), 0) < 200 THEN 2 ELSE 3 END AS steps FROM raw_pages")
+def str5_agent_states(spark, folder):
+    """STR5: each page through the states of an agent, ten transitions at most."""
+    s = F.col("state")
+    step = (
+        F.when((s == "search") & F.coalesce(F.lower("page_url").startswith("http"), F.lit(False)), "fetch").when(s == "search", "failed")
+        .when((s == "fetch") & (F.coalesce(F.length("text"), F.lit(0)) >= 200), "verify").when(s == "fetch", "failed")
+        .when((s == "verify") & F.col("contacts").isNull(), "partial").when(s == "verify", "done").otherwise(s)
+    )
+    return run_states(Tables(spark, folder).raw_pages.withColumn("state", F.lit("search")), step).select("page_id", "state", "steps")
+
+
+@query("""WITH t AS (SELECT page_id, county, text AS t FROM raw_pages WHERE length(trim(text)) >= 80 AND county IS NOT NULL), s AS (SELECT page_id, county, t, unnest(range(0, greatest(0, length(t) - 101) + 1, 700)) AS s FROM t)
+    SELECT 'county_' || replace(lower(trim(county)), ' ', '_') AS collection, count(DISTINCT page_id) AS pages, count(*) AS chunks FROM s WHERE length(trim(substr(t, s + 1, 800))) >= 80 GROUP BY 1""")
+def cmp12_collections(spark, folder):
+    """CMP12: the chunks of each county's collection, as build_collections writes them."""
+    from millrace.operators.retrieve import fixed_chunks
+
+    t = Tables(spark, folder).raw_pages.where("county is not null").select(F.struct("page_id", collection_name(F.col("county")).alias("collection")).alias("key"), "text")
+    chunks = fixed_chunks(t, "key", F.col("text"))
+    return chunks.groupBy(F.col("id.collection").alias("collection")).agg(F.countDistinct("id.page_id").alias("pages"), F.count("*").alias("chunks"))
+
+
+@query()
+def win7_recursive_chunks(spark, folder):
+    """WIN7: chunks cut at the strongest separators; tested by their properties."""
+    t = spread(Tables(spark, folder).documents.select("doc_id", "text"), "doc_id")
+    return recursive_chunks(t, "doc_id", F.col("text")).withColumnRenamed("id", "doc_id")
