@@ -278,7 +278,10 @@ def str3_accumulators(spark, folder):
     return Tables(spark, folder).events.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_type"), F.max_by("event_type", "event_id").alias("last_type"), F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH n AS (SELECT list(n_name ORDER BY n_nationkey) AS names FROM nation), e AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN names[(user_id % len(names) + 1)::INT] END AS said, names FROM events, n),
+    t AS (SELECT user_id, event_id, list_filter(names, lambda x: contains(lower(said), lower(x)))[1] AS named FROM e), a AS (SELECT user_id, count(*) AS n_turns, min(event_id) FILTER (WHERE named IS NOT NULL) AS k1, max(event_id) AS last FROM t GROUP BY 1),
+    b AS (SELECT a.user_id, min(event_id) FILTER (WHERE named IS NULL AND event_id > k1) AS k2 FROM t JOIN a USING (user_id) GROUP BY 1), c AS (SELECT t.user_id, arg_max(named, event_id) AS county FROM t JOIN b USING (user_id) WHERE named IS NOT NULL AND event_id < coalesce(k2, 9223372036854775807) GROUP BY 1)
+    SELECT user_id AS conversation, CASE WHEN k1 IS NULL THEN 'ask' WHEN k2 IS NULL THEN 'confirm' WHEN k2 = last THEN 'show' ELSE 'done' END AS step, county, n_turns FROM a LEFT JOIN b USING (user_id) LEFT JOIN c USING (user_id)""")
 def str4_conversations(spark, folder):
     """Events of a user as turns of a conversation: every third names a county, others say yes."""
     t = Tables(spark, folder)
@@ -295,7 +298,12 @@ def str2_unseen(spark, folder):
     return t.where(F.col("created_at") >= cut).join(t.where(F.col("created_at") < cut).select("fp"), "fp", "left_anti").select("doc_id")
 
 
-@query()
+@query("""WITH p AS (SELECT county, page_url, page_id, length(text) AS n FROM raw_pages WHERE county IS NOT NULL), f AS (SELECT county, arg_min(page_url, page_id) AS url FROM p GROUP BY 1),
+    l AS (SELECT * FROM (SELECT f.url AS src, page_url AS dst, row_number() OVER (PARTITION BY p.county ORDER BY page_id) AS pos FROM p JOIN f USING (county)) WHERE src <> dst),
+    h0 AS (SELECT county, url, 0 AS depth, '' AS path FROM f), h1 AS (SELECT county, dst AS url, 1 AS depth, min(path || '/' || lpad(pos::VARCHAR, 6, '0')) AS path FROM h0 JOIN l ON url = src WHERE (county, dst) NOT IN (SELECT county, url FROM h0) GROUP BY 1, 2),
+    h2 AS (SELECT county, dst AS url, 2 AS depth, min(path || '/' || lpad(pos::VARCHAR, 6, '0')) AS path FROM h1 JOIN l ON url = src WHERE (county, dst) NOT IN (SELECT county, url FROM h0 UNION ALL SELECT county, url FROM h1) GROUP BY 1, 2),
+    s AS (SELECT page_url FROM p GROUP BY 1 HAVING max(n) >= 200), v AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)
+    SELECT county, url, depth, rank FROM (SELECT *, row_number() OVER (PARTITION BY county ORDER BY depth, path, url) AS rank FROM v WHERE url IN (SELECT page_url FROM s)) WHERE rank <= 30""")
 def str1_crawl(spark, folder):
     """A bounded breadth-first crawl over the link tables of the pages: pages of a county link to its other pages."""
     from millrace.operators.pages import crawl
@@ -305,7 +313,7 @@ def str1_crawl(spark, folder):
     pos = F.row_number().over(W.partitionBy("county").orderBy("page_id"))
     links = p.join(first, "county").select(F.col("seed").alias("src"), F.col("page_url").alias("dst"), pos.alias("pos")).where("src <> dst")
     pages = p.groupBy(F.col("page_url").alias("url")).agg(F.lit(True).alias("expands"), (F.max("n") >= 200).alias("saved"))
-    return crawl(first.select("county", F.col("seed").alias("url")), links, pages)
+    return crawl(first.select("county", F.col("seed").alias("url")), links, pages).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")

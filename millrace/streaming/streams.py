@@ -20,17 +20,16 @@ def windowed_counts(stream: DataFrame, time_col: str, kind_col: str, size: str =
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a bounded stream to its end and returns what it wrote: a table in the shared folder, or, for complete mode,
-    the report in memory."""
+    """Runs a bounded stream to its end and returns what it wrote, a table in the shared folder; in complete mode each
+    batch writes the whole report in place of the one before."""
     import uuid
 
     spark: SparkSession = stream.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/millrace-stream-{name}-{uuid.uuid4().hex}"
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", at + "-state").trigger(availableNow=True)
     if mode == "complete":
-        table = f"stream_{uuid.uuid4().hex}"
-        q = stream.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", at + "-state").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.table(table)
-    q = stream.writeStream.format("parquet").option("path", at).option("checkpointLocation", at + "-state").outputMode(mode).trigger(availableNow=True).start()
+        q = out.foreachBatch(lambda report, _: report.write.mode("overwrite").parquet(at)).start()
+    else:
+        q = out.format("parquet").option("path", at).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(at)
