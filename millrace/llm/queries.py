@@ -69,6 +69,11 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     return repeated.remove_lines(pages, repeated.repeated_lines(pages)).select(F.col("id").alias("page_id"), "text")
 
 
+def p3_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts without the chunks, of no regard to lines, that a county repeats excessively."""
+    return repeated.cut_chunks(_table(spark, folder, "raw_pages")).withColumnRenamed("id", "page_id")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "raw_pages")
     read = residue.read_pages(pages, weights=mainbody.fitted(pages, _table(spark, folder, "line_labels")))

@@ -1,8 +1,9 @@
 """Problem 3: lines that a source repeats over many of its documents.
 
-Lines are normalised and cut into content-defined chunks by a rolling hash; for each chunk and source the distinct
-documents are counted; a line all of whose chunks are repeated excessively is a candidate, whose own documents are
-then counted exactly."""
+Two operators. cut_chunks takes whole texts, without regard to lines: content-defined chunks by a rolling hash, distinct
+documents counted for each chunk and source, chunks repeated excessively cut out. repeated_lines finds lines: there
+chunks stay within a line, a line all of whose chunks are repeated is a candidate, and its own documents are then
+counted exactly."""
 
 from __future__ import annotations
 
@@ -184,6 +185,93 @@ def _each_chunk(b: pa.RecordBatch):
     yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(0).take(take), pa.array(line_no[place]), pa.array(line[place]), pa.array(counts[place]), pa.array(chunks)], ["source", "id", "line_no", "line", "n_chunks", "chunk"])
 
 
+#: Of the texts' bytes: capitals as small letters, digits as #, white space as a space; all of one length.
+_FOLD = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isupper() else 35 if 48 <= b < 58 else 32 if b in (9, 10, 13) else b for b in range(256))
+_CHUNK_WINDOW, _CHUNK_MASK = 16, np.uint32(0x1F << 27)  # a cut about every 32 bytes
+
+
+def chunk_ends(text: str) -> tuple[bytes, bytes, list[int]]:
+    """The text's bytes, as they are and folded, and where its content-defined chunks end: behind 16 bytes whose rolling
+    hash has a certain value (and behind the character that this may lie in). Lines don't matter."""
+    raw = text.encode("utf-8", "surrogatepass")
+    folded = raw.translate(_FOLD)
+    data = np.frombuffer(folded, np.uint8)
+    h = _GEAR[data]
+    for k in (1, 2, 4, 8):
+        nxt = h.copy()
+        nxt[k:] += h[:-k] << np.uint32(k)
+        h = nxt
+    ends = np.flatnonzero((h & _CHUNK_MASK) == 0) + 1
+    ends = ends[(ends >= _CHUNK_WINDOW) & (ends < len(data))]
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    at = np.searchsorted(starts, ends)
+    ends = np.unique(starts[at[at < len(starts)]])
+    return raw, folded, [*ends.tolist(), len(data)] if len(data) else []
+
+
+def _chunk_names(folded: bytes, ends: list[int], salt: int) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(folded[a:b], salt) >> 1 for a, b in zip([0, *ends], ends)]
+
+
+def _without(raw: bytes, ends: list[int], gone) -> tuple[str, int]:
+    """The text without the chunks at these places, and how many characters went."""
+    out = b"".join(raw[a:b] for k, (a, b) in enumerate(zip([0, *ends], ends)) if k not in gone).decode("utf-8", "surrogatepass")
+    return out, len(raw.decode("utf-8", "surrogatepass")) - len(out)
+
+
+def cut_chunks(df: DataFrame, id_col: str = "page_id", text_col: str = "text", source_col: str = "county", least_docs: int = 5, least_share: float = 0.15, broadcast_chunks: int = BROADCAST_CHUNKS) -> DataFrame:
+    """id, text, cut_chars: each text without the chunks that stand in at least `least_docs` documents and `least_share` of
+    the documents of its source.
+
+    A passage repeated with the same words is cut but for its ends, up to a chunk (some 32 bytes) on each side, wherever
+    it stands and whether lines end in it or not. Rows with a null source keep their text, null texts stay null and
+    count as documents, rows repeated with one id count once. Shuffled are chunk names (8 bytes each), counted in each
+    task first; texts only if more than `broadcast_chunks` chunks are repeated, when places are joined to them."""
+    own = df.select(F.col(id_col).cast("long").alias("id"), county_key(F.col(source_col)).alias("source"), F.col(text_col).alias("text"))
+    own = spread(unique_by(own, "id"), "id")
+    sourced = own.where("source is not null and id is not null")
+    sizes = sourced.groupBy("source").agg(F.count("*").alias("docs")).select("source", F.greatest(F.lit(least_docs), F.ceil(F.col("docs") * least_share - F.lit(1e-9))).alias("least"))
+
+    def names_of(source: str | None, text: str | None) -> tuple[bytes, list[int], list[int]]:
+        raw, folded, ends = chunk_ends(text or "")
+        return raw, ends, _chunk_names(folded, ends, xxhash.xxh3_64_intdigest(source.encode())) if source is not None else []
+
+    def chunks(b: pa.RecordBatch):
+        found = [names_of(s, t)[2] for s, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "source", "chunks"])
+
+    cut = stage(map_batches(sourced, chunks, "id long, source string, chunks array<long>"), "chunks")
+    counted = cut.select("source", F.explode(F.array_distinct("chunks")).alias("chunk")).groupBy("source", "chunk").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
+    hot = stage(counted.join(sizes, "source").where("n >= least").select("chunk").distinct(), "hot")
+    schema = "id long, text string, cut_chars long"
+
+    def rows(ids, kept):
+        return pa.RecordBatch.from_arrays([ids, pa.array([x[0] for x in kept], pa.string()), pa.array([x[1] for x in kept], pa.int64())], ["id", "text", "cut_chars"])
+
+    if hot.count() <= broadcast_chunks:
+        kept = cut.sparkSession.sparkContext.broadcast(frozenset(hot.toPandas()["chunk"].tolist()))
+
+        def of(b: pa.RecordBatch):
+            out = []
+            for s, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                raw, ends, names = names_of(s, t)
+                gone = {k for k, n in enumerate(names) if n in kept.value}
+                out.append(_without(raw, ends, gone) if gone else (t, 0))
+            yield rows(b.column(0), out)
+
+        return map_batches(own, of, schema)
+    places = cut.select("id", F.posexplode("chunks").alias("place", "chunk")).join(hot, "chunk", "left_semi").groupBy("id").agg(F.collect_list("place").alias("gone"))
+
+    def at(b: pa.RecordBatch):
+        out = []
+        for t, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            raw, _, ends = chunk_ends(t or "")
+            out.append(_without(raw, ends, set(gone)) if gone else (t, 0))
+        yield rows(b.column(0), out)
+
+    return map_batches(own.join(places, "id", "left").select("id", "text", "gone"), at, schema)
+
+
 def remove_lines(df: DataFrame, lines: DataFrame, id_col: str = "page_id", text_col: str = "text") -> DataFrame:
     """id, text without the given (id, line_no). A text that loses no line stays as it is, a null text stays null."""
     gone = lines.groupBy("id").agg(F.collect_set(F.col("line_no").cast("int")).alias("gone"))
