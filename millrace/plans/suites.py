@@ -31,6 +31,15 @@ _B2 = f"""{_NAMES}, m AS (SELECT county_code, g, f FROM pr WHERE f1 >= 0.5), h A
         FROM v JOIN ng USING (county_code) LEFT JOIN nr ON nr.county_code = v.county_code AND nr.data_version = v.data_version LEFT JOIN d ON d.county_code = v.county_code AND d.data_version = v.data_version)"""
 
 
+def _mean_sql(c: str) -> str:
+    return f"(sum(round({c} * 1000000)::BIGINT) // count(*))::BIGINT / 1000000.0::DOUBLE"
+
+
+def _mean(c: str):
+    """The mean of values of six digits, cut to six digits: sums of integers, the same in any order of rows."""
+    return F.expr(f"(sum(cast(round({c} * 1000000) as bigint)) div count(*)) / 1000000.0D")
+
+
 def _names(t):
     own = t.structured_programs.where("program_name is not null")
     gold = own.where(_GOLD).select("county_code", "program_name").distinct()
@@ -60,11 +69,11 @@ def evl6_name_retrieval(spark, folder):
     return _name_retrieval(Tables(spark, folder))
 
 
-@query(f"WITH {_B2} SELECT data_version, round(avg(recall_at_10), 5) AS recall, round(avg(recall_at_20), 5) AS recall_20, round(avg(ndcg_at_10), 5) AS ndcg, count(*) AS counties FROM b2 GROUP BY 1")
+@query(f"WITH {_B2} SELECT data_version, {_mean_sql('recall_at_10')} AS recall, {_mean_sql('recall_at_20')} AS recall_20, {_mean_sql('ndcg_at_10')} AS ndcg, count(*) AS counties FROM b2 GROUP BY 1")
 def agg14_version_scores(spark, folder):
     """AGG14: macro averages of each version."""
     b2 = _name_retrieval(Tables(spark, folder))
-    return b2.groupBy("data_version").agg(F.round(F.avg("recall_at_10"), 5).alias("recall"), F.round(F.avg("recall_at_20"), 5).alias("recall_20"), F.round(F.avg("ndcg_at_10"), 5).alias("ndcg"), F.count("*").alias("counties"))
+    return b2.groupBy("data_version").agg(_mean("recall_at_10").alias("recall"), _mean("recall_at_20").alias("recall_20"), _mean("ndcg_at_10").alias("ndcg"), F.count("*").alias("counties"))
 
 
 _B3 = f"""{_NAMES}, v AS (SELECT DISTINCT county_code, data_version FROM f), bf AS (SELECT v.county_code, v.data_version, g.g, coalesce((SELECT max(f1) FROM pr JOIN f ON f.county_code = pr.county_code AND f.f = pr.f WHERE pr.county_code = v.county_code AND pr.g = g.g AND f.data_version = v.data_version), 0) AS f1 FROM v JOIN g USING (county_code)),
@@ -203,10 +212,10 @@ def evl4_counties(spark, folder):
 _FIVE = ("recall_at_20", "contact_precision", "contact_recall", "validity", "missing_rate")
 
 
-@query(f"WITH {_RUN} SELECT count(*) AS counties, {', '.join(f'round(avg({c}), 5) AS {c}' for c in _FIVE)} FROM ev")
+@query(f"WITH {_RUN} SELECT count(*) AS counties, {', '.join(f'{_mean_sql(c)} AS {c}' for c in _FIVE)} FROM ev")
 def agg18_averages(spark, folder):
     """AGG18: the five averages of an evaluation run."""
-    return _run(Tables(spark, folder)).agg(F.count("*").alias("counties"), *[F.round(F.avg(c), 5).alias(c) for c in _FIVE])
+    return _run(Tables(spark, folder)).agg(F.count("*").alias("counties"), *[_mean(c).alias(c) for c in _FIVE])
 
 
 @query(f"""WITH n AS (SELECT county_code, {_COUNTY.format(c='county_name')} AS name, count(*) AS n FROM structured_counties WHERE trim(county_name) <> '' GROUP BY 1, 2), d AS (SELECT county_code, arg_min(name, lpad((1000000 - n)::VARCHAR, 8, '0') || name) AS got FROM n GROUP BY 1)
