@@ -90,6 +90,14 @@ def cmp1_discovery(spark, folder):
     )
 
 
+@query(f"SELECT result_id, url FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY ord) AS rn FROM (SELECT result_id, url, min(ord) AS ord FROM (SELECT result_id, unnest(range(0, len(programs))) AS ord, unnest(programs).url AS url, unnest(programs).link_text AS t FROM discovery_results) WHERE {_BASIC.format(c='lower(t)')} AND url IS NOT NULL GROUP BY 1, 2)) WHERE rn <= 10")
+def cmp5_keyword_links(spark, folder):
+    """CMP5: links with a keyword in their text, each URL once, the first ten of a result."""
+    own = Tables(spark, folder).discovery_results.select("result_id", F.posexplode("programs").alias("ord", "p"))
+    hits = own.where(T.holds_any(F.lower("p.link_text"), G.BASIC_KEYWORDS) & F.col("p.url").isNotNull()).groupBy("result_id", F.col("p.url").alias("url")).agg(F.min("ord").alias("ord"))
+    return top_per_group(hits, ["result_id"], [F.col("ord")], 10).select("result_id", "url")
+
+
 _RESULTS = f"r AS (SELECT county_code, result_id AS template, unnest(range(0, len(programs))) AS pos, unnest(programs).url AS url, nullif(regexp_replace({host_sql('county_url')}, '^www\\.', ''), '') AS domain FROM discovery_results)"
 
 

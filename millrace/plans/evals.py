@@ -11,7 +11,7 @@ from millrace.operators import metrics as E
 from millrace.operators import ordering as O
 from millrace.operators.dialog import fold_turns
 from millrace.operators.matching import dictionary
-from millrace.operators.retrieve import fixed_chunks, nearest
+from millrace.operators.retrieve import fit_cells, fit_probes, fixed_chunks, index_vectors, nearest, nearest_indexed
 from millrace.plans.base import Tables, collapse_sql, name_sql, query, sql_list
 
 _KEY = "regexp_replace(regexp_replace(lower({c}), '[?#].*$', ''), '/+$', '')"
@@ -262,6 +262,17 @@ def top4_neighbours(spark, folder):
     return nearest(t.where("vec_id % 50 = 0"), t, 10).select("query_id", "neighbour_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("SELECT count(*) AS queries, true AS good FROM embeddings WHERE vec_id % 50 = 0")
+def top4_index_recall(spark, folder):
+    """TOP4 by an index: whether it finds at least 0.9 of what the exact search finds."""
+    t = Tables(spark, folder).embeddings
+    q = t.where("vec_id % 50 = 0")
+    centres = fit_cells(t)
+    found = nearest_indexed(q, index_vectors(t, centres), centres, 10, fit_probes(t, centres)).select("query_id", "neighbour_id", F.lit(1).alias("found"))
+    both = nearest(q, t, 10).join(found, ["query_id", "neighbour_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), (F.count("found") >= 0.9 * F.count("*")).alias("good"))
+
+
 @query("""WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS n, e.label = q.label AS rel, round(list_cosine_similarity(q.v, e.embedding::DOUBLE[]), 9) AS sim FROM q, embeddings e WHERE e.vec_id <> q.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, n) AS rank FROM s) SELECT query_id, count(*) FILTER (WHERE rel) AS relevant FROM r WHERE rank <= 10 GROUP BY 1""")
 def evl6_retrieval_hits(spark, folder):

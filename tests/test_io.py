@@ -139,3 +139,23 @@ def test_boundary(spark):
         raise OSError(p)
 
     assert parse_reply(complete(df, "i", "p", fails))[0].count() == 0
+
+
+def test_index_finds_most_of_the_nearest(spark):
+    import numpy as np
+
+    from millrace.operators.retrieve import fit_cells, fit_probes, index_vectors, nearest_indexed
+
+    r = np.random.default_rng(3)
+    rows = [(i, (r.normal(size=16) + 3 * np.eye(16)[i % 16]).tolist()) for i in range(1500)] + [(2000, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 50 = 0")
+    centres = fit_cells(v)
+    index = index_vectors(v, centres)
+    assert index.count() == 1500 and len(centres) == 38
+    exact, found = ({(x["query_id"], x["neighbour_id"]) for x in df.collect()} for df in (nearest(q, v, 10), nearest_indexed(q, index, centres, 10)))
+    blocks = {(x["query_id"], x["neighbour_id"]) for x in nearest_indexed(q, index, centres, 10, block_queries=10).collect()}
+    assert len(exact & found) >= 0.9 * len(exact) and blocks == found
+    assert 1 <= fit_probes(v, centres) <= len(centres) and fit_probes(v, centres, recall=1.0) >= fit_probes(v, centres)
+    whole = {(x["query_id"], x["neighbour_id"]) for x in nearest_indexed(q, index, centres, 10, probes=len(centres)).collect()}
+    assert whole == exact and nearest_indexed(q, index.where("false"), centres).count() == 0
