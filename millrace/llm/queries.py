@@ -65,8 +65,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
-    pages = _table(spark, folder, "raw_pages")
-    return repeated.remove_lines(pages, repeated.repeated_lines(pages)).select(F.col("id").alias("page_id"), "text")
+    return repeated.clean_texts(_table(spark, folder, "raw_pages")).withColumnRenamed("id", "page_id")
 
 
 def p3_chunks(spark: SparkSession, folder: str) -> DataFrame:

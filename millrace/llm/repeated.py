@@ -140,6 +140,12 @@ def repeated_lines(df: DataFrame, id_col: str = "page_id", text_col: str = "text
     id count once. An empty table gives no rows. Texts are read once: their chunk hashes, a fraction of their size,
     are staged. Hot sources: chunks are counted in each task before the shuffle and by (source, chunk), so no task
     gets a whole source."""
+    lines, exact = _occurrences(df, id_col, text_col, source_col, least_docs, least_share, broadcast_chunks)
+    return lines.join(exact, ["source", "line"], "left_semi").select("id", "line_no")
+
+
+def _occurrences(df: DataFrame, id_col: str, text_col: str, source_col: str, least_docs: int, least_share: float, broadcast_chunks: int) -> tuple[DataFrame, DataFrame]:
+    """source, id, line_no, line (a hash that holds the source) of the candidates; source, line of the repeated lines."""
     own = df.select(F.col(id_col).cast("long").alias("id"), county_key(F.col(source_col)).alias("source"), F.col(text_col).alias("text"))
     own = spread(unique_by(own, "id").where("source is not null and id is not null"), "id")
     sizes = own.groupBy("source").agg(F.count("*").alias("docs")).select("source", F.greatest(F.lit(least_docs), F.ceil(F.col("docs") * least_share - F.lit(1e-9))).alias("least"))
@@ -147,8 +153,7 @@ def repeated_lines(df: DataFrame, id_col: str = "page_id", text_col: str = "text
     counted = cut.select("source", F.explode(F.array_distinct("chunks")).alias("chunk")).groupBy("source", "chunk").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
     hot = stage(counted.join(sizes, "source").where("n >= least").select("chunk").distinct(), "hot")
     lines = stage(_candidates(cut, hot, broadcast_chunks), "lines")
-    exact = lines.groupBy("source", "line").agg(F.countDistinct("id").alias("n")).join(sizes, "source").where("n >= least").select("source", "line")
-    return lines.join(exact, ["source", "line"], "left_semi").select("id", "line_no")
+    return lines, lines.groupBy("source", "line").agg(F.countDistinct("id").alias("n")).join(sizes, "source").where("n >= least").select("source", "line")
 
 
 def _candidates(cut: DataFrame, hot: DataFrame, most: int) -> DataFrame:
@@ -279,3 +284,31 @@ def remove_lines(df: DataFrame, lines: DataFrame, id_col: str = "page_id", text_
     parts = F.split(F.col("text"), "\n", -1)
     kept = F.filter(F.transform(parts, lambda x, i: F.when(F.array_contains("gone", i + 1), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
     return own.join(gone, "id", "left").select("id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
+
+
+def clean_texts(df: DataFrame, id_col: str = "page_id", text_col: str = "text", source_col: str = "county", least_docs: int = 5, least_share: float = 0.15, broadcast_lines: int = BROADCAST_CHUNKS) -> DataFrame:
+    """id, text without the lines that repeated_lines finds. Rows with a null source and texts that lose no line stay as
+    they are, null texts stay null, repeated rows give repeated results.
+
+    The hashes of the repeated lines (8 bytes each) are broadcast and texts are cleaned where they lie; only with more of
+    them than `broadcast_lines` the occurrences are joined to the texts by id."""
+    lines, exact = _occurrences(df, id_col, text_col, source_col, least_docs, least_share, BROADCAST_CHUNKS)
+    hashes = stage(exact, "repeated")
+    if hashes.count() > broadcast_lines:
+        return remove_lines(df, lines.join(hashes, ["source", "line"], "left_semi").select("id", "line_no"), id_col, text_col)
+    kept = df.sparkSession.sparkContext.broadcast(np.sort(hashes.select("line").toPandas()["line"].to_numpy(np.int64)))
+
+    def of(b: pa.RecordBatch):
+        sources, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
+        at = [k for k, (s, t) in enumerate(zip(sources, texts)) if s is not None and t]
+        text_of, line_no, counts, chunks = chunk_texts([texts[k] for k in at], _salts([sources[k] for k in at]))
+        hit = np.isin(_line_hashes(chunks, counts).view(np.int64), kept.value)
+        gone: dict[int, set[int]] = {}
+        for k, no in zip(text_of[hit].tolist(), line_no[hit].tolist()):
+            gone.setdefault(at[k], set()).add(no)
+        for k, numbers in gone.items():
+            texts[k] = "\n".join(x for no, x in enumerate(texts[k].split("\n"), 1) if no not in numbers)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["id", "text"])
+
+    own = df.select(F.col(id_col).cast("long").alias("id"), county_key(F.col(source_col)).alias("source"), F.col(text_col).alias("text"))
+    return map_batches(spread(own, "id"), of, "id long, text string")

@@ -48,3 +48,14 @@ def test_ends_lie_between_characters():
     for text in ("界" * 500, "é" * 300 + "abc " * 200, "", "x", NOTICE * 20):
         raw, _, ends = repeated.chunk_ends(text)
         assert "".join(raw[a:b].decode() for a, b in zip([0, *ends], ends)) == text
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_clean_texts(spark, most):
+    lines = [(i, "Kern" if i % 2 else "kern county", f"Share  this page {i}\nown line {'abcdefgh'[i]}\n\n{NOTICE}") for i in range(8)]
+    data = [*lines, (8, None, "Share this page 1"), (9, "kern", None), (10, "kern", ""), (11, "other", "Share this page 1"), lines[0]]
+    df = spark.createDataFrame([(*r, 1) for r in data], "page_id long, county string, text string, line int")
+    got = sorted((r["id"], r["text"] or "") for r in repeated.clean_texts(df, broadcast_lines=most).collect())
+    wanted = sorted((i, "Share this page 1" if i in (8, 11) else t and f"own line {'abcdefgh'[i]}\n" or "") for i, _, t in data)
+    assert got == wanted
+    assert repeated.clean_texts(df.where("false"), broadcast_lines=most).count() == 0
